@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import decontaminate, language_id, near_dup
+from tracelake.llm import decontaminate, language_id, near_dup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ppm_language_id": language_id.op2_ppm_language_id,
+        "op4_quality_cascade": quality.op4_quality_cascade,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op10_minhash_near_dup": near_dup.op10_minhash_near_dup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_quality_cascade": quality.OP4_SQL,
+    }
