@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import decontaminate, language_id, near_dup, quality
+from tracelake.llm import decontaminate, language_id, license_scan, near_dup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ppm_language_id": language_id.op2_ppm_language_id,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_quality_cascade": quality.op4_quality_cascade,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op10_minhash_near_dup": near_dup.op10_minhash_near_dup,
@@ -20,5 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_license_scan": license_scan.OP3_SQL,
         "op4_quality_cascade": quality.OP4_SQL,
     }
