@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import decontaminate, language_id, license_scan, near_dup, quality
+from tracelake.llm import decontaminate, language_id, language_model, license_scan, near_dup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_quality_cascade": quality.op4_quality_cascade,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+        "op9_suffix_tree_lm": language_model.op9_suffix_tree_lm,
         "op10_minhash_near_dup": near_dup.op10_minhash_near_dup,
     }
 
