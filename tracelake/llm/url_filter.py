@@ -23,12 +23,13 @@ HOST_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 PATTERN_RULES = (
     ("block", r"(?i)\bcasino\b"),
     ("block", r"(?i)\bcheap-pills\b"),
-    ("block", r"(?i)\bfree-(xxx|porn)\b"),
+    ("block", r"(?i)\bfree-(xxx|porn|bets)\b"),
     ("block", r"(?i)://[^/?#]*\bporn\b"),
     ("block", r"(?i)://[^/?#]*\badult\b"),
     ("block", r"(?i)\bpoker-(online|win)\b"),
     ("block", r"(?i)\bviagra\b"),
     ("block", r"(?i)\bspam-farm\b"),
+    ("block", r"(?i)\bads-track\b"),
     ("block", r"(?i)/wp-login\.php"),
     ("block", r"(?i)[?&]phpsessid="),
 )
