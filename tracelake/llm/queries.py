@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import decontaminate, language_id, language_model, license_scan, mixing, near_dup, quality, url_filter
+from tracelake.llm import decontaminate, language_id, language_model, license_scan, mixing, near_dup, quality, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_writer": warc.op1_warc_writer,
         "op2_ppm_language_id": language_id.op2_ppm_language_id,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_quality_cascade": quality.op4_quality_cascade,
