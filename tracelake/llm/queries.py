@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import decontaminate, language_id, language_model, license_scan, mixing, near_dup, quality, url_filter, warc
+from tracelake.llm import decontaminate, html_extract, language_id, language_model, license_scan, mixing, near_dup, quality, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_cascade": quality.op4_quality_cascade,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_weighted_fair_mix": mixing.op6_weighted_fair_mix,
+        "op7_template_extraction": html_extract.op7_template_extraction,
         "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
         "op9_suffix_tree_lm": language_model.op9_suffix_tree_lm,
         "op10_minhash_near_dup": near_dup.op10_minhash_near_dup,
