@@ -82,6 +82,35 @@ class ContainmentIndex:
                 yield self.items[i][0], len(mine), len(mine & exact)
 
 
+def _indexes(items: DataFrame, item_col: str, item_text: str, size: int, percent: int, block_bytes: int) -> Iterator:
+    """Broadcast indexes of the items, one for each block of about ``block_bytes`` bytes of text."""
+    asked = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
+    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-total // block_bytes) or 1
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else asked
+        yield items.sparkSession.sparkContext.broadcast(ContainmentIndex([(r.item, r.text) for r in part.collect()], size, percent))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with all their columns."""
+    at = docs.columns.index(text_col)
+    for index in _indexes(items, item_col, item_text, size, percent, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            held = index.value
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                raw, offsets = buffers(batch.column(at))
+                for i, runs, _ in shingle_rows(raw, offsets, size):
+                    if len(runs) and next(held.contained(np.unique(runs), batch.column(at)[i].as_py()), None):
+                        clean[i] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row (doc_id, item_id, item_shingles, shared_shingles, containment) per document row and item it contains.
 
@@ -89,15 +118,9 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
     is one shingle.  Null ids stay null; repeated rows give repeated results; other columns are ignored.  Documents are
     read once per block of items and never shuffled.
     """
-    spark = docs.sparkSession
-    asked = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text"))
-    total = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else asked
-        index = spark.sparkContext.broadcast(ContainmentIndex([(r.item, r.text) for r in part.collect()], size, percent))
+    for index in _indexes(items, item_col, item_text, size, percent, block_bytes):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             held = index.value

@@ -9,6 +9,7 @@ trees are laid over one another in one array, so a batch of texts is scored for
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +150,26 @@ def predict(docs: DataFrame, model: PPM, *, text_col: str = "text", keep: list[s
     return rows.mapInArrow(run, ddl)
 
 
+def keep_known(docs: DataFrame, model: PPM, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and, under the model, one language of posterior ``least`` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+    letter = re.compile(r"[^\W\d_]")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ppm = held.value
+        for batch in batches:
+            column = batch.column(at)
+            keep = np.array([bool(x and letter.search(x)) for x in map(pa.StringScalar.as_py, column)], dtype=bool)
+            if ppm.langs and batch.num_rows:
+                bits = ppm.code_lengths(*buffers(column))
+                gap = bits - bits.min(axis=1, keepdims=True)
+                keep &= 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1) >= least
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 4) = 2"
 
 

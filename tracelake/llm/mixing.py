@@ -93,6 +93,14 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     return rows.join(taken.withColumnRenamed("start", "start_"), ["src", "start_"], "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def keep_mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs`` of which the mix takes words, with size, source_size, target and taken (columns of these
+    names are replaced).  Rows that repeat an id each carry that id's sums of size and taken."""
+    own = mixed(docs, id_col=id_col, **how).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken")).where("taken > 0")
+    rows = docs.select([c for c in docs.columns if c not in ("size", "source_size", "target", "taken")])
+    return rows.join(own, rows[id_col].eqNullSafe(own["_id"])).drop("_id")
+
+
 def op6_weighted_fair_mix(spark, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 

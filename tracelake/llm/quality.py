@@ -184,19 +184,18 @@ def passes(t: Texts, rules: list[Rule], among: np.ndarray | None = None) -> np.n
     return out
 
 
-def judge(docs: DataFrame, text_col: str = "text", keep: list[str] = (), rules: tuple[Rule, ...] = BASE + ADDED, kept_col: str = "kept") -> DataFrame:
-    """``keep`` columns of every row and whether the cascade keeps its text.  Null and empty texts have no words."""
+def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = BASE + ADDED) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with all their columns; null and empty texts have no words and go."""
     ordered = order_rules(docs, rules, text_col)
-    rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = buffers(batch.column(batch.num_columns - 1))
+            raw, offsets = buffers(batch.column(at))
             kept = [passes(Texts(raw, offsets[a : b + 1]), ordered) for a, b in pieces(offsets)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(kept) if kept else np.zeros(0, bool))], names=[*batch.schema.names[:-1], kept_col])
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"`{kept_col}` boolean"])
-    return rows.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, docs.schema)
 
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
