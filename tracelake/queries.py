@@ -1,15 +1,391 @@
-"""The driver's catalogue of the measurement-file engine."""
+"""The driver's catalogue: queries over measurement files made from the test tables, and the same in SQL.
+
+The files are fixtures: a table's columns are collected once, written as MDF 4 in the shared folder and read back through
+the engine.  Conversion queries work on the tables themselves, as rules compile to plain Column expressions.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake import fixtures as X
+from tracelake.functions import scalars as S
+from tracelake.functions.conversion import compile_conversion
+from tracelake.operators import align
+from tracelake.plans.api import open_mf4
+from tracelake.session import shared_dir
+from tracelake.sources.blocks import Conversion
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _Q[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _columns(spark: SparkSession, sf_dir: str, table: str, *exprs: str) -> dict[str, np.ndarray]:
+    got = _table(spark, sf_dir, table).selectExpr(*exprs).toArrow()
+    return {n: np.asarray(got.column(n)) for n in got.column_names}
+
+
+def _file(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], bytes]) -> str:
+    """The fixture's path; written under its final name only when whole, and made once for each input."""
+    key = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    root = f"{shared_dir(spark)}/tracelake-fixtures-3/{key}"
+    uri = root if "://" in root else f"file://{root}"
+    fs, at = pafs.FileSystem.from_uri(uri)
+    path = f"{at}/{name}.mf4"
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        data = build()
+        fs.create_dir(at, recursive=True)
+        with fs.open_output_stream(f"{path}.tmp", compression=None) as f:
+            f.write(data)
+        fs.move(f"{path}.tmp", path)
+    return f"{uri}/{name}.mf4"
+
+
+# --- streams of records
+
+_EVENTS = ("event_id", "unix_micros(cast(ts as timestamp)) AS t_us", "value")
+_EVENTS_SQL = "SELECT event_id, epoch_us(ts) AS t_us, value FROM events"
+
+
+def _events_file(spark: SparkSession, sf_dir: str, layout: str, block_bytes: int = 1 << 20) -> str:
+    def build() -> bytes:
+        group = X.group_of_arrays(_columns(spark, sf_dir, "events", *_EVENTS), master="t_us")
+        return X.Writer().file([X.Data([group], layout, block_bytes)])
+
+    return _file(spark, sf_dir, f"events_{layout}", build)
+
+
+for _name, _layout, _size in (("scan_dt_events", "dt", 1 << 20), ("scan_dl_equal", "dl_equal", 1 << 16), ("scan_dl_offsets", "dl_offsets", 1 << 16), ("scan_dl_spanning", "dl_spanning", 65_521), ("scan_dz_deflate", "dz_deflate", 0), ("scan_dz_transposed", "dz_transposed", 0), ("scan_hl_dl_dz", "hl_dl_dz", 1 << 18)):
+
+    @query(_name, _EVENTS_SQL)
+    def _scan(spark, sf_dir, layout=_layout, size=_size):
+        return open_mf4(spark, _events_file(spark, sf_dir, layout, size)).table().drop("record_index")
+
+
+@query("scan_filtered", "SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE i >= 100 AND i < 400")
+def _filtered(spark, sf_dir):
+    return open_mf4(spark, _events_file(spark, sf_dir, "dl_equal")).table(0, ["event_id", "value"]).where("record_index >= 100 and record_index < 400").drop("record_index")
+
+
+_ORDERS = ("o_orderkey", "o_custkey", "o_totalprice")
+_LINES = ("l_orderkey", "cast(l_linenumber as int) AS l_linenumber", "l_quantity")
+
+
+def _unsorted_file(spark: SparkSession, sf_dir: str, rid: int) -> str:
+    def build() -> bytes:
+        a = X.group_of_arrays(_columns(spark, sf_dir, "orders", *_ORDERS), record_id=1)
+        b = X.group_of_arrays(_columns(spark, sf_dir, "lineitem", *_LINES), record_id=2)
+        parts = []
+        for g in (a, b):
+            rows = np.frombuffer(g.records, np.uint8).reshape(g.cycles, g.data_bytes)
+            ids = np.full((g.cycles, rid), 0, np.uint8)
+            ids[:, 0] = g.record_id
+            parts.append([r.tobytes() for r in np.hstack([ids, rows])])
+        step = max(1, len(parts[1]) // max(1, len(parts[0])))
+        mixed = []
+        for k, r in enumerate(parts[0]):
+            mixed.append(r)
+            mixed += parts[1][k * step : (k + 1) * step]
+        mixed += parts[1][len(parts[0]) * step :]
+        return X.Writer().file([X.Data([a, b], "dl_spanning", 1 << 18, rid, b"".join(mixed))])
+
+    return _file(spark, sf_dir, f"unsorted_{rid}", build)
+
+
+@query("scan_unsorted_two_groups", "SELECT 0 AS g, o_orderkey AS k, o_custkey::DOUBLE AS a, o_totalprice AS b FROM orders UNION ALL SELECT 1, l_orderkey, l_linenumber::DOUBLE, l_quantity FROM lineitem")
+def _unsorted(spark, sf_dir):
+    f = open_mf4(spark, _unsorted_file(spark, sf_dir, 1))
+    one = f.table(0).select(F.lit(0).alias("g"), F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("double").alias("a"), F.col("o_totalprice").alias("b"))
+    two = f.table(1).select(F.lit(1).alias("g"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("double").alias("a"), F.col("l_quantity").alias("b"))
+    return one.unionByName(two)
+
+
+for _rid in (2, 4, 8):
+
+    @query(f"scan_unsorted_id{_rid}", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+    def _unsorted_wide(spark, sf_dir, rid=_rid):
+        return open_mf4(spark, _unsorted_file(spark, sf_dir, rid)).table(0).drop("record_index")
+
+
+def _vlsd_file(spark: SparkSession, sf_dir: str, unsorted: bool, layout: str = "sd") -> str:
+    def build() -> bytes:
+        got = _columns(spark, sf_dir, "documents", "doc_id", "lang", "text")
+        ids = got["doc_id"].astype("<i8")
+        texts = [(t or "").encode() for t in got["text"]]
+        langs = [(t or "").encode() for t in got["lang"]]
+        if not unsorted:
+            rows = np.zeros(len(ids), np.dtype([("doc_id", "<i8"), ("t", "<u8"), ("l", "<u8")]))
+            rows["doc_id"] = ids
+            for name, own in (("t", texts), ("l", langs)):
+                rows[name] = np.concatenate([[0], np.cumsum([4 + len(x) for x in own])[:-1]]) if len(own) else 0
+            ch = [X.Chan("doc_id", 2, 0, 64), X.Chan("text", 7, 8, 64, type=1, signal=texts, signal_layout=layout), X.Chan("lang", 7, 16, 64, type=1, signal=langs)]
+            return X.Writer().file([X.Data([X.Group(ch, rows.tobytes(), len(ids), 24)])])
+        out = []
+        for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
+            out.append(b"\1" + int(i).to_bytes(8, "little", signed=True) + bytes(8))
+            out.append(b"\2" + len(t).to_bytes(4, "little") + t)
+        main = X.Group([X.Chan("doc_id", 2, 0, 64), X.Chan("text", 7, 8, 64, type=1, signal_group=2)], cycles=len(ids), data_bytes=16, record_id=1)
+        text = X.Group([], cycles=len(ids), record_id=2, flags=1)
+        return X.Writer().file([X.Data([main, text], "dl_spanning", 1 << 18, 1, b"".join(out))])
+
+    return _file(spark, sf_dir, f"vlsd_{'unsorted' if unsorted else layout}", build)
+
+
+for _layout in ("sd", "dl_spanning", "hl_dl_dz"):
+
+    @query("scan_vlsd_text" if _layout == "sd" else f"scan_vlsd_{_layout}", "SELECT doc_id, lang, text FROM documents")
+    def _vlsd(spark, sf_dir, layout=_layout):
+        return open_mf4(spark, _vlsd_file(spark, sf_dir, False, layout)).table().drop("record_index")
+
+
+@query("scan_vlsd_unsorted", "SELECT doc_id, text FROM documents")
+def _vlsd_unsorted(spark, sf_dir):
+    f = open_mf4(spark, _vlsd_file(spark, sf_dir, True))
+    return f.table(next(g.flat_index for g in f.file.groups if not g.is_vlsd)).drop("record_index")
+
+
+@query("samples_long", "SELECT channel, record_index, value_num, value_text FROM (SELECT row_number() OVER () - 1 AS record_index, * FROM events), LATERAL (VALUES ('event_id', event_id::DOUBLE, NULL::VARCHAR), ('t_us', epoch_us(ts)::DOUBLE, NULL), ('value', value, NULL)) AS v(channel, value_num, value_text)")
+def _long(spark, sf_dir):
+    return open_mf4(spark, _events_file(spark, sf_dir, "dt")).samples().select("channel", "record_index", "value_num", "value_text")
+
+
+# --- decoding
+
+def _parts_file(spark: SparkSession, sf_dir: str) -> str:
+    def build() -> bytes:
+        got = _columns(spark, sf_dir, "part", "p_partkey", "p_size", "p_retailprice", "p_brand")
+        key, size, price = got["p_partkey"], got["p_size"], got["p_retailprice"]
+        brand = [b.encode() for b in got["p_brand"]]
+        wide = max([len(b) for b in brand] or [1])
+        d = np.dtype([("u8", "u1"), ("u16", ">u2"), ("u32", "<u4"), ("u64", "<u8"), ("i8", "i1"), ("i16", "<i2"), ("i32", ">i4"), ("i64", ">i8"), ("f32", "<f4"), ("f64", ">f8"), ("bits", "<u4"), ("i24", "u1", 3), ("s", f"S{wide}"), ("w", f"S{2 * wide}"), ("b", f"V{wide}")])
+        r = np.zeros(len(key), d)
+        for n in ("u8", "i8"):
+            r[n] = size
+        for n in ("u16", "u32", "u64", "i16", "i32", "i64"):
+            r[n] = key % 32_000
+        r["i8"], r["i64"] = -size, -key
+        r["u64"] = key.astype("u8") + (np.uint64(1) << np.uint64(63))
+        r["f32"], r["f64"] = size / 4, price
+        r["bits"] = (size.astype("u4") << 3) | (key.astype("u4") % 2) | (((key % 512).astype("u4")) << 13)
+        minus = (-(key % 1000)).astype("<i4").view("u1").reshape(-1, 4)
+        r["i24"] = minus[:, :3]
+        r["s"] = brand
+        r["w"] = [b.decode().encode("utf-16-le") for b in brand]
+        raw = np.array([b.ljust(wide, b"\0") for b in brand], dtype=f"V{wide}")
+        r["b"] = raw
+        at = {n: d.fields[n][1] for n in d.names}
+        ch = [
+            X.Chan("u8", 0, at["u8"], 8), X.Chan("u16", 1, at["u16"], 16), X.Chan("u32", 0, at["u32"], 32), X.Chan("u64", 0, at["u64"], 64),
+            X.Chan("i8", 2, at["i8"], 8), X.Chan("i16", 2, at["i16"], 16), X.Chan("i32", 3, at["i32"], 32), X.Chan("i64", 3, at["i64"], 64),
+            X.Chan("f32", 4, at["f32"], 32), X.Chan("f64", 5, at["f64"], 64),
+            X.Chan("flag", 0, at["bits"], 1), X.Chan("size", 0, at["bits"], 10, bit_offset=3), X.Chan("nine", 0, at["bits"] + 1, 9, bit_offset=5), X.Chan("i24", 2, at["i24"], 24),
+            X.Chan("latin", 6, at["s"], 8 * wide), X.Chan("utf8", 7, at["s"], 8 * wide), X.Chan("utf16", 8, at["w"], 16 * wide), X.Chan("bytes", 10, at["b"], 8 * wide),
+            X.Chan("row", 0, 0, 0, type=6), X.Chan("key", 0, at["u32"], 32),
+        ]
+        return X.Writer().file([X.Data([X.Group(ch, r.tobytes(), len(r), d.itemsize)])])
+
+    return _file(spark, sf_dir, "parts", build)
+
+
+@query("decode_int_types", "SELECT p_size::SMALLINT AS u8, (p_partkey % 32000)::INT AS u16, (p_partkey % 32000)::BIGINT AS u32, (p_partkey + 9223372036854775808)::DECIMAL(20, 0) AS u64, (-p_size)::TINYINT AS i8, (p_partkey % 32000)::SMALLINT AS i16, (p_partkey % 32000)::INT AS i32, -p_partkey AS i64 FROM part")
+def _ints(spark, sf_dir):
+    return open_mf4(spark, _parts_file(spark, sf_dir)).table(0, ["u8", "u16", "u32", "u64", "i8", "i16", "i32", "i64"]).drop("record_index")
+
+
+@query("decode_float_be", "SELECT (p_size / 4.0)::FLOAT AS f32, p_retailprice AS f64 FROM part")
+def _floats(spark, sf_dir):
+    return open_mf4(spark, _parts_file(spark, sf_dir)).table(0, ["f32", "f64"]).drop("record_index")
+
+
+@query("decode_bits", "SELECT (p_partkey % 2)::SMALLINT AS flag, p_size::INT AS size, (p_partkey % 512)::INT AS nine, (-(p_partkey % 1000))::INT AS i24 FROM part")
+def _bits(spark, sf_dir):
+    return open_mf4(spark, _parts_file(spark, sf_dir)).table(0, ["flag", "size", "nine", "i24"]).drop("record_index")
+
+
+@query("decode_utf16", "SELECT p_brand AS latin, p_brand AS utf8, p_brand AS utf16 FROM part")
+def _texts(spark, sf_dir):
+    return open_mf4(spark, _parts_file(spark, sf_dir)).table(0, ["latin", "utf8", "utf16"]).drop("record_index")
+
+
+@query("decode_bytes_hex", "SELECT lower(rpad(hex(encode(p_brand)), 2 * (SELECT max(length(p_brand)) FROM part)::INT, '0')) AS bytes FROM part")
+def _hex(spark, sf_dir):
+    return open_mf4(spark, _parts_file(spark, sf_dir)).table(0, ["bytes"]).drop("record_index")
+
+
+@query("decode_virtual", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS row FROM part")
+def _virtual(spark, sf_dir):
+    return open_mf4(spark, _parts_file(spark, sf_dir)).table(0, ["row"]).drop("record_index")
+
+
+@query("scalar_functions", "SELECT p_partkey, (p_size & 4) <> 0 AS bit2, lower(hex(encode(p_brand))) AS brand_hex, p_brand AS brand, CASE WHEN p_size < 10 THEN -1 WHEN p_size < 20 THEN 0 WHEN p_size < 30 THEN 1 ELSE 2 END AS bracket FROM part")
+def _scalars(spark, sf_dir):
+    p = _table(spark, sf_dir, "part")
+    return p.select("p_partkey", S.bit_is_set(F.col("p_size"), 2).alias("bit2"), S.hex_text(F.encode("p_brand", "UTF-8")).alias("brand_hex"), S.decoded_text(F.encode("p_brand", "UTF-16LE"), 8).alias("brand"), S.bracket([10, 20, 30], F.col("p_size")).alias("bracket"))
+
+
+# --- conversions, on columns of the tables
+
+def _converted(table: str, column: str, rule: Conversion, sql: str, keys: str, **how):
+    def run(spark, sf_dir):
+        typed = compile_conversion(rule, F.col(column), **how)
+        out = [typed.column["num"].alias("num"), typed.column["text"].alias("text")] if typed.kind == "mixed" else [typed.column.alias("v")]
+        return _table(spark, sf_dir, table).select(*keys.split(", "), *out)
+
+    return run, f"SELECT {keys}, {sql} FROM {table}"
+
+
+def _add(name: str, *args, **how) -> None:
+    run, sql = _converted(*args, **how)
+    _Q[name], _SQL[name] = run, sql
+
+
+_LK = "l_orderkey, l_linenumber"
+_add("conv_none", "lineitem", "l_quantity", Conversion(0), "l_quantity AS v", _LK)
+_add("conv_linear", "lineitem", "l_quantity", Conversion(1, [10.0, 0.5]), "l_quantity * 0.5::DOUBLE + 10::DOUBLE AS v", _LK)
+_add("conv_rational", "lineitem", "l_quantity", Conversion(2, [0.0, 2.0, 1.0, 0.0, 1.0, -25.0]), "(0::DOUBLE * l_quantity * l_quantity + 2::DOUBLE * l_quantity + 1::DOUBLE) / (0::DOUBLE * l_quantity * l_quantity + 1::DOUBLE * l_quantity + -25::DOUBLE) AS v", _LK)
+_add("conv_algebraic", "lineitem", "l_quantity", Conversion(3, refs=["X*X + 2*X - (X - 1)/4"]), "l_quantity * l_quantity + 2::DOUBLE * l_quantity - (l_quantity - 1::DOUBLE) / 4::DOUBLE AS v", _LK)
+_add("conv_vv_interp", "orders", "o_totalprice", Conversion(4, [1000, 0, 50_000, 10, 200_000, 5, 400_000, 100]), "CASE WHEN o_totalprice <= 1000 THEN 0::DOUBLE WHEN o_totalprice >= 400000 THEN 100::DOUBLE WHEN o_totalprice < 50000 THEN 0::DOUBLE + ((o_totalprice - 1000) * 10::DOUBLE) / 49000::DOUBLE WHEN o_totalprice < 200000 THEN 10::DOUBLE + ((o_totalprice - 50000) * -5::DOUBLE) / 150000::DOUBLE ELSE 5::DOUBLE + ((o_totalprice - 200000) * 95::DOUBLE) / 200000::DOUBLE END AS v", "o_orderkey")
+_add("conv_vv_nearest", "lineitem", "l_quantity", Conversion(5, [5, 1, 15, 2, 25, 3, 40, 4]), "CASE WHEN l_quantity <= 10 THEN 1 WHEN l_quantity <= 20 THEN 2 WHEN l_quantity <= 32.5 THEN 3 ELSE 4 END::DOUBLE AS v", _LK)
+_add("conv_range_value_int", "part", "p_size", Conversion(6, [1, 10, 1, 11, 20, 2, 25, 40, 3, -1]), "CASE WHEN p_size BETWEEN 1 AND 10 THEN 1 WHEN p_size BETWEEN 11 AND 20 THEN 2 WHEN p_size BETWEEN 25 AND 40 THEN 3 ELSE -1 END::DOUBLE AS v", "p_partkey", integer=True)
+_add("conv_range_value_float", "part", "p_retailprice", Conversion(6, [900, 905, 1, 905, 910, 2, 912, 918, 3, -1]), "CASE WHEN p_retailprice >= 900 AND p_retailprice < 905 THEN 1 WHEN p_retailprice >= 905 AND p_retailprice < 910 THEN 2 WHEN p_retailprice >= 912 AND p_retailprice < 918 THEN 3 ELSE -1 END::DOUBLE AS v", "p_partkey")
+_add("conv_value_text", "lineitem", "l_linenumber", Conversion(7, [1, 2, 7], ["one", "two", "seven", "many"]), "CASE l_linenumber WHEN 1 THEN 'one' WHEN 2 THEN 'two' WHEN 7 THEN 'seven' ELSE 'many' END AS v", _LK, integer=True)
+_add("conv_range_text", "lineitem", "l_linenumber", Conversion(8, [1, 2, 4, 5, 7, 7], ["low", "mid", "top", None]), "CASE WHEN l_linenumber BETWEEN 1 AND 2 THEN 'low' WHEN l_linenumber BETWEEN 4 AND 5 THEN 'mid' WHEN l_linenumber = 7 THEN 'top' END AS v", _LK, integer=True)
+_add("conv_nested", "orders", "o_totalprice", Conversion(8, [0, 100_000, 100_000, 300_000], ["cheap", Conversion(1, [1.0, 0.5]), Conversion(7, [400_000.0], ["exact", "dear"])]), "CASE WHEN o_totalprice >= 100000 AND o_totalprice < 300000 THEN o_totalprice * 0.5::DOUBLE + 1::DOUBLE END AS num, CASE WHEN o_totalprice >= 0 AND o_totalprice < 100000 THEN 'cheap' WHEN o_totalprice >= 100000 AND o_totalprice < 300000 THEN NULL WHEN o_totalprice = 400000 THEN 'exact' ELSE 'dear' END AS text", "o_orderkey")
+_add("conv_text_value", "orders", "o_orderpriority", Conversion(9, [1.0, 2.0, 9.0], ["1-URGENT", "2-HIGH"]), "CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 9 END::DOUBLE AS v", "o_orderkey", textual=True)
+_add("conv_text_text", "lineitem", "l_returnflag", Conversion(10, [], ["R", "returned", "A", "accepted", "other"]), "CASE l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'accepted' ELSE 'other' END AS v", _LK, textual=True)
+_add("conv_bitfield_identity", "part", "p_size", Conversion(11), "p_size AS v", "p_partkey", integer=True)
+_add("conv_bitfield_text", "part", "p_size", Conversion(11, [], [Conversion(7, [0.0, 1.0], ["even", "odd", None], name="parity"), Conversion(8, [16.0, 63.0], ["big", None])], masks=[1, 48]), "concat_ws('|', 'parity = ' || CASE WHEN p_size % 2 = 1 THEN 'odd' ELSE 'even' END, CASE WHEN p_size & 48 >= 16 THEN 'big' END) AS v", "p_partkey", integer=True, bits="text")
+_WIDE = [(float(k), float((k * 37) % 101)) for k in range(0, 500_000, 1000)]
+_add("conv_vv_interp_wide", "orders", "o_totalprice", Conversion(4, [y for p in _WIDE for y in p]), "CASE WHEN o_totalprice >= 499000 THEN ((499000 * 37) % 101)::DOUBLE ELSE ((floor(o_totalprice / 1000)::BIGINT * 1000 * 37) % 101)::DOUBLE + ((o_totalprice - floor(o_totalprice / 1000) * 1000) * ((((floor(o_totalprice / 1000)::BIGINT + 1) * 1000 * 37) % 101)::DOUBLE - ((floor(o_totalprice / 1000)::BIGINT * 1000 * 37) % 101)::DOUBLE)) / 1000::DOUBLE END AS v", "o_orderkey")
+
+
+@query("conv_in_file", "SELECT l_orderkey, l_quantity * 0.5::DOUBLE + 10::DOUBLE AS l_quantity, CASE l_linenumber WHEN 1 THEN 'one' ELSE 'more' END AS l_linenumber FROM lineitem")
+def _in_file(spark, sf_dir):
+    def build() -> bytes:
+        rules = {"l_quantity": X.Rule(1, [10.0, 0.5], unit="pcs"), "l_linenumber": X.Rule(7, [1.0], ["one", "more"])}
+        return X.Writer().file([X.Data([X.group_of_arrays(_columns(spark, sf_dir, "lineitem", *_LINES), rules=rules)], "dz_transposed")])
+
+    return open_mf4(spark, _file(spark, sf_dir, "lineitem_rules", build)).table().drop("record_index")
+
+
+# --- metadata
+
+def _full_file(spark: SparkSession, sf_dir: str) -> str:
+    def build() -> bytes:
+        si = X.Origin("ECM", "bus/ecm", "engine", 2, 2, 1)
+        one = X.group_of_arrays({"t": np.arange(3.0), "speed": np.array([1, 2, 3], "<i2")}, master="t", name="drive", comment="first", source=si)
+        one.channels[1].unit, one.channels[1].comment = "km/h", "vehicle speed"
+        two = X.group_of_arrays({"t": np.arange(2.0), "rpm": np.array([700.0, 800.0]), "t2": np.zeros(2)}, master="t", flags=6)
+        log = [X.Log(1_600_000_000_000_000_000, "created", flags=1), X.Log(1_600_000_001_000_000_000, "edited")]
+        files = [X.Attachment(b"hello", "a\\b\\note.txt", "text/plain", "greeting", md5=X.md5(b"hello")), X.Attachment(b"zipped " * 9, "z.bin", compressed=True, md5=b"x" * 16), X.Attachment(b"", "out/side.csv", "text/csv", embedded=False), X.Attachment(b"n", None)]
+        events = [X.Event("start", "go", 1, 1, 0, 1, base=10, factor=0.5), X.Event(None, None, 6, 1, scopes=2)]
+        return X.Writer().file([X.Data([one], comment="dg one"), X.Data([two], "dz_deflate")], comment="run 7", start_ns=1_600_000_000_123_456_789, tz=60, dst=120, time_flags=1, flags=1, angle=0.25, distance=8.0, attachments=files, events=events, history=log)
+
+    return _file(spark, sf_dir, "full", build)
+
+
+def _values(cols: str, *rows: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) AS v({cols})"
+
+
+@query("list_channels", _values("dg_index, cg_index, cn_index, name, type, data_type, bit_count, is_master, unit, comment, master_name", "0, 0, 0, 't', 'Master', 4, 64::BIGINT, true, NULL, NULL, 't'", "0, 0, 1, 'speed', 'FixedLenght', 2, 16, false, 'km/h', 'vehicle speed', 't'", "1, 0, 0, 't', 'Master', 4, 64, true, NULL, NULL, 't'", "1, 0, 1, 'rpm', 'FixedLenght', 4, 64, false, NULL, NULL, 't'", "1, 0, 2, 't2', 'FixedLenght', 4, 64, false, NULL, NULL, 't'"))
+def _channels(spark, sf_dir):
+    return open_mf4(spark, _full_file(spark, sf_dir)).channels().select("dg_index", "cg_index", "cn_index", "name", "type", "data_type", "bit_count", "is_master", "unit", "comment", "master_name")
+
+
+@query("list_groups", _values("dg_index, flat_index, cycle_count, data_bytes, kinds, name, comment, dg_comment, source_name, source_type, bus_type, source_flag, is_sorted, data_block_id", "0, 0, 3::BIGINT, 10::BIGINT, '', 'drive', 'first', 'dg one', 'ECM', 'BUS', 'CAN', 'SIMULATED SOURCE', true, '##DT'", "1, 1, 2, 24, 'PLAIN_BUS_EVENT', NULL, NULL, NULL, NULL, NULL, NULL, NULL, true, '##DZ'"))
+def _groups(spark, sf_dir):
+    g = open_mf4(spark, _full_file(spark, sf_dir)).groups()
+    return g.select("dg_index", "flat_index", "cycle_count", "data_bytes", F.concat_ws(",", "kinds").alias("kinds"), "name", "comment", "dg_comment", F.col("source.name").alias("source_name"), F.col("source.type").alias("source_type"), F.col("source.bus_type").alias("bus_type"), F.col("source.flag").alias("source_flag"), F.col("sorted").alias("is_sorted"), "data_block_id")
+
+
+@query("map_channels_last", _values("dg_index, last_name, names", "0, 'speed', 't,speed'", "1, 't2', 't,rpm,t2'"))
+def _last(spark, sf_dir):
+    return open_mf4(spark, _full_file(spark, sf_dir)).map_channel_names().select("dg_index", "last_name", F.concat_ws(",", "names").alias("names"))
+
+
+@query("channels_of_group", _values("cn_index, name", "0, 't'", "1, 'rpm'", "2, 't2'"))
+def _of_group(spark, sf_dir):
+    return open_mf4(spark, _full_file(spark, sf_dir)).channels_of(1).select("cn_index", "name")
+
+
+@query("header_times", _values("version, version_number, finalized, start_time_ns, start_us, tz_offset_min, dst_offset_min, start_time_ns_compat, start_angle_rad, start_distance_m, comment", "'4.10', 410, true, 1600000000123456789, 1600000000123456, 60, 120, 1600000000123456789, 0.25::DOUBLE, 8::DOUBLE, 'run 7'"))
+def _header(spark, sf_dir):
+    h = open_mf4(spark, _full_file(spark, sf_dir)).header()
+    return h.select(F.rtrim("version").alias("version"), "version_number", "finalized", "start_time_ns", F.unix_micros("start_time").alias("start_us"), "tz_offset_min", "dst_offset_min", "start_time_ns_compat", "start_angle_rad", "start_distance_m", "comment")
+
+
+@query("change_log", _values("idx, time_ns, time_flags, comment, entry", "0, 1600000000000000000, 1, 'created', '1600000000000000000 1 created'", "1, 1600000001000000000, 0, 'edited', '1600000001000000000 0 edited'"))
+def _log(spark, sf_dir):
+    return open_mf4(spark, _full_file(spark, sf_dir)).history().select("idx", "time_ns", "time_flags", "comment", "entry")
+
+
+@query("events_list", _values("idx, name, comment, type, sync_type, cause, scope_count, sync_base_value, sync_factor", "0, 'start', 'go', 1, 1, 1, 0::BIGINT, 10::BIGINT, 0.5::DOUBLE", "1, '', '', 6, 1, 0, 2, 0, 1"))
+def _events(spark, sf_dir):
+    return open_mf4(spark, _full_file(spark, sf_dir)).events().select("idx", "name", "comment", "type", "sync_type", "cause", "scope_count", "sync_base_value", "sync_factor")
+
+
+@query("attachments_list", _values("idx, name, path, mime_type, comment, embedded, compressed, md5_ok, original_size, content_md5", f"0, 'note.txt', 'a/b/note.txt', 'text/plain', 'greeting', true, false, true, 5::BIGINT, '{hashlib.md5(b'hello').hexdigest()}'", f"1, 'z.bin', 'z.bin', '', '', true, true, false, 63, '{hashlib.md5(b'zipped ' * 9).hexdigest()}'", "2, 'side.csv', 'out/side.csv', 'text/csv', '', false, false, NULL, 0, NULL", f"3, 'file-3', 'file-3', '', '', true, false, NULL, 1, '{hashlib.md5(b'n').hexdigest()}'"))
+def _attachments(spark, sf_dir):
+    return open_mf4(spark, _full_file(spark, sf_dir)).attachments().select("idx", "name", "path", "mime_type", "comment", "embedded", "compressed", "md5_ok", "original_size", F.md5("content").alias("content_md5"))
+
+
+# --- tables of samples together
+
+@query("master_join", "SELECT a.event_id AS event_id, epoch_us(a.ts) AS t_us, a.value AS value, b.event_id AS other FROM events a JOIN events b ON a.ts = b.ts")
+def _join(spark, sf_dir):
+    f = open_mf4(spark, _events_file(spark, sf_dir, "dt"))
+    g = open_mf4(spark, _events_file(spark, sf_dir, "dz_transposed"))
+    return align.master_join(f.table(), g.table(0, ["t_us", "event_id"]).withColumnRenamed("event_id", "other"), "t_us").select("event_id", "t_us", "value", "other")
+
+
+@query("as_of_join", "SELECT event_id, epoch_us(ts) AS t_us, (SELECT max(epoch_us(b.ts)) FROM events b WHERE b.event_id % 7 = 0 AND b.ts <= a.ts) AS seen FROM events a WHERE event_id % 7 <> 0")
+def _as_of(spark, sf_dir):
+    f = open_mf4(spark, _events_file(spark, sf_dir, "dt")).table(0, ["event_id", "t_us"]).drop("record_index")
+    return align.as_of(f.where("event_id % 7 <> 0"), f.where("event_id % 7 = 0").withColumn("seen", F.col("t_us")), "t_us", ["seen"], ranges=64)
+
+
+@query("downsample_minmaxavg", "SELECT floor(epoch_us(ts) / 3600000000)::BIGINT AS bucket, count(*) AS n, min(value) AS value_min, round(avg(value), 6) AS value_mean, max(value) AS value_max FROM events GROUP BY 1")
+def _down(spark, sf_dir):
+    f = open_mf4(spark, _events_file(spark, sf_dir, "hl_dl_dz", 1 << 18)).table(0, ["t_us", "value"])
+    return align.downsample(f, "t_us", 3_600_000_000, ["value"]).withColumn("value_mean", F.round("value_mean", 6))
+
+
+@query("route_records", "SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 1")
+def _route(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).alias("id"), F.col("o_orderkey").alias("k"))
+    return align.route(o, "id", 1).select("k")
+
 
-def entry(spark):
-    return spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "value")
+def entry(spark: SparkSession) -> DataFrame:
+    """Flagship: events through a zipped, listed measurement file with a conversion-free group."""
+    return _Q["scan_hl_dl_dz"](spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_Q)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: re.sub(r"\s+", " ", v) for k, v in _SQL.items()}
