@@ -19,7 +19,7 @@ class FormulaError(ValueError):
 def ieee_divide(num: Column, den: Column) -> Column:
     """num / den with infinities and NaN for a zero denominator, where Spark raises an error."""
     zero = den == 0
-    negative = F.atan2(den, F.lit(-1.0)) < 0  # -0.0
+    negative = den.cast("string").startswith("-")  # -0.0
     endless = F.when(F.isnan(num) | (num == 0), F.lit(float("nan"))).when((num > 0) != negative, F.lit(float("inf"))).otherwise(F.lit(float("-inf")))
     return F.when(zero, endless).otherwise(num / F.when(zero, F.lit(1.0)).otherwise(den))
 
