@@ -94,6 +94,9 @@ class MeasurementSet:
     def history(self) -> DataFrame:
         return self._load("mf4_history")
 
+    def reductions(self) -> DataFrame:
+        return self._load("mf4_reductions")
+
     def change_log(self) -> DataFrame:
         return self.history().select("idx", "entry")
 

@@ -49,7 +49,7 @@ def _columns(spark: SparkSession, sf_dir: str, table: str, *exprs: str) -> dict[
 def _file(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], bytes]) -> str:
     """The fixture's path; written under its final name only when whole, and made once for each input."""
     key = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-    root = f"{shared_dir(spark)}/tracelake-fixtures-3/{key}"
+    root = f"{shared_dir(spark)}/tracelake-fixtures-4/{key}"
     uri = root if "://" in root else f"file://{root}"
     fs, at = pafs.FileSystem.from_uri(uri)
     path = f"{at}/{name}.mf4"
@@ -294,7 +294,7 @@ def _in_file(spark, sf_dir):
 def _full_file(spark: SparkSession, sf_dir: str) -> str:
     def build() -> bytes:
         si = X.Origin("ECM", "bus/ecm", "engine", 2, 2, 1)
-        one = X.group_of_arrays({"t": np.arange(3.0), "speed": np.array([1, 2, 3], "<i2")}, master="t", name="drive", comment="first", source=si)
+        one = X.group_of_arrays({"t": np.arange(3.0), "speed": np.array([1, 2, 3], "<i2")}, master="t", name="drive", comment="first", source=si, reductions=[(2, 0.5, 1, 0), (1, 1.0, 1, 1)])
         one.channels[1].unit, one.channels[1].comment = "km/h", "vehicle speed"
         two = X.group_of_arrays({"t": np.arange(2.0), "rpm": np.array([700.0, 800.0]), "t2": np.zeros(2)}, master="t", flags=6)
         log = [X.Log(1_600_000_000_000_000_000, "created", flags=1), X.Log(1_600_000_001_000_000_000, "edited")]
@@ -351,6 +351,11 @@ def _attachments(spark, sf_dir):
     return open_mf4(spark, _full_file(spark, sf_dir)).attachments().select("idx", "name", "path", "mime_type", "comment", "embedded", "compressed", "md5_ok", "original_size", F.md5("content").alias("content_md5"))
 
 
+@query("list_reductions", _values("dg_index, idx, cycle_count, sample_interval, sync_type, flags", "0, 0, 2::BIGINT, 0.5::DOUBLE, 'Time', 0", "0, 1, 1, 1, 'Time', 1"))
+def _reductions(spark, sf_dir):
+    return open_mf4(spark, _full_file(spark, sf_dir)).reductions().select("dg_index", "idx", "cycle_count", "sample_interval", "sync_type", "flags")
+
+
 # --- tables of samples together
 
 @query("master_join", "SELECT a.event_id AS event_id, epoch_us(a.ts) AS t_us, a.value AS value, b.event_id AS other FROM events a JOIN events b ON a.ts = b.ts")

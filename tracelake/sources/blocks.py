@@ -323,6 +323,7 @@ class ChannelGroup:
     channels: list[Channel]
     data_at: int
     master_at: int
+    reductions_at: int = 0
 
     @property
     def is_vlsd(self) -> bool:
@@ -374,7 +375,7 @@ class MeasurementFile:
                 rid, cycles, flags, sep, _, size, inval = data(src, cg, "<QQHH4sII")
                 channels = [channel(src, b, k) for k, b in enumerate(chain(src, cg.link(1), "##CN"))]
                 _name(channels)
-                groups.append(ChannelGroup(cg.at, d, c, len(groups), rid, rec_size, cycles, flags, sep, size, inval, text(src, cg.link(2)), text(src, cg.link(5)), note, source_info(src, cg.link(3)), channels, dg.link(2), cg.link(6)))
+                groups.append(ChannelGroup(cg.at, d, c, len(groups), rid, rec_size, cycles, flags, sep, size, inval, text(src, cg.link(2)), text(src, cg.link(5)), note, source_info(src, cg.link(3)), channels, dg.link(2), cg.link(6), cg.link(4)))
         return cls(src.path, ident, head, groups)
 
 

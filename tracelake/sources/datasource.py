@@ -9,6 +9,7 @@
 ``mf4_events``     events
 ``mf4_attachments``  attachments with their content
 ``mf4_history``    the change log
+``mf4_reductions``  stored sample reductions
 =================  ====================================================================================================
 
 Options of ``mf4``: ``group`` (flat index, default 0), ``channels`` (comma-separated columns: only these are decoded),
@@ -256,6 +257,13 @@ def history_rows(src: B.Source, f: B.MeasurementFile) -> Iterator[tuple]:
         yield (f.path, k, ns, _micros(ns), tz, dst, flags, note, f"{ns} {flags} {note}")
 
 
+def reduction_rows(src: B.Source, f: B.MeasurementFile) -> Iterator[tuple]:
+    for g in f.groups:
+        for k, b in enumerate(B.chain(src, g.reductions_at, "##SR")):
+            cycles, interval, sync, flags = B.data(src, b, "<QdBB")
+            yield (f.path, g.dg_index, g.cg_index, k, cycles, interval, B.SYNC_TYPES.get(sync, ""), flags)
+
+
 def sample_rows(src: B.Source, f: B.MeasurementFile, index: int) -> Iterator[pa.RecordBatch]:
     g = f.groups[index]
     if g.is_vlsd or not g.data_at:
@@ -284,6 +292,7 @@ TABLES = {
     "mf4_events": (event_rows, "file string, idx int, name string, comment string, type int, sync_type int, range_type int, cause int, flags int, scope_count long, creator_index int, sync_base_value long, sync_factor double"),
     "mf4_attachments": (attachment_rows, "file string, idx int, name string, path string, mime_type string, comment string, embedded boolean, compressed boolean, md5_ok boolean, original_size long, creator_index int, content binary"),
     "mf4_history": (history_rows, "file string, idx int, time_ns long, time timestamp, tz_offset_min int, dst_offset_min int, time_flags int, comment string, entry string"),
+    "mf4_reductions": (reduction_rows, "file string, dg_index int, cg_index int, idx int, cycle_count long, sample_interval double, sync_type string, flags int"),
     "mf4_samples": (sample_rows, "file string, dg_index int, cg_index int, channel string, record_index long, value_num double, value_text string"),
 }
 
