@@ -4,7 +4,7 @@ import math
 
 import duckdb
 import pytest
-from conftest import prose, words
+from plain import prose, words
 from tracelake.llm import mixing
 from tracelake.llm import queries as catalogue
 
@@ -80,7 +80,7 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     group = brute([(r.doc_id, r.text) for r in rows])
     rows = [r for r in rows if group[r.doc_id] == r.doc_id]
     assert sorted(map(repr, third.collect())) == sorted(map(repr, rows))
-    from conftest import shingles
+    from plain import shingles
 
     fourth = pipeline.decontamination(spark, third, sf)
     items = [shingles(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

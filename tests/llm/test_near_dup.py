@@ -3,7 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 
-from conftest import prose, shingles  # noqa: F401
+from plain import prose, shingles
 from tracelake.llm import near_dup
 from tracelake.llm.components import connected_components
 

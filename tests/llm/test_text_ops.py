@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from conftest import LOWER, lower_words, prose, shingles, words
+from plain import LOWER, lower_words, prose, shingles, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tracelake.llm import decontaminate, language_id, language_model, license_scan, quality, vectext
