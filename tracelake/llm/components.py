@@ -12,19 +12,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``edges`` (a, b) longs -> (id, component): the smallest id reachable from each id that has an edge.
 
     Every round takes the smallest label among a node's neighbours (partial aggregation before the shuffle, so a
-    star's centre is no hot spot), then jumps along labels, and writes the labels to the shared folder.  Stops when no
+    star's centre is no hot spot), from the second on also jumps along labels, and writes the labels to the shared folder.  Stops when no
     label changes; ``max_rounds`` is only a guard and raises, it never returns half-merged labels.  Loops, repeated
     edges and an empty table are fine; rows with a null end are ignored.
     """
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
+    both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-edges")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "cc-labels")
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("c"))
-        jump = labels.select(F.col("id").alias("c"), F.col("component").alias("far"))
-        new = written(step.join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("far", "c")).alias("component")), "cc-labels")
-        labels = new.select("id", "component")
+        step = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        if turn:  # stars are done after the first round; longer chains are shortened by jumps
+            jump = labels.select(F.col("id").alias("c"), F.col("component").alias("far"))
+            step = step.withColumnRenamed("component", "c").join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("far", "c")).alias("component"))
+        new = written(step, "cc-labels")
         if new.where("component <> old").limit(1).count() == 0:
             return labels
+        labels = new.select("id", "component")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")

@@ -2,15 +2,15 @@
 
 Two small collections of ``M`` half keys (``K`` MinHash values each) are drawn per document; a table key combines one
 half key of either collection, so ``M * M`` tables cost only ``2 * M * K`` MinHash values.  Two documents of Jaccard
-similarity s meet in some table with probability (1 - (1 - s**K)**M)**2: 0.99993 at 0.85 for M = 8, K = 2.
+similarity s meet in some table with probability (1 - (1 - s**K)**M)**2: 0.99998 at 0.85 for M = 16, K = 4, and 0.0006 at 0.2.
 
 1. Each document's distinct 5-word shingles become hashes (Arrow batches); equal sets collapse to their smallest id.
 2. Half keys that only one set has are dropped before any pair of half keys is formed.
 3. In each table bucket members are paired with the bucket's smallest id only (a star, never all pairs).  Pairs are
    confirmed on the full texts' shingle sets and give links; links give components.
-4. Buckets that still hold several components need their cross-component pairs looked at.  While those are many, further
-   pivots are tried; when they are few against the bucket rows, or after ``PIVOT_ROUNDS``, every pair that is left is
-   confirmed.  No candidate is dropped.
+4. Members of buckets that still hold several components may be linked across them.  Of those, an exact prefix filter
+   (shingles in global order, rarest first) leaves the pairs that can be similar enough, and every one is confirmed: no
+   candidate is dropped, and passages shared by otherwise different texts make no pairs.
 """
 
 from __future__ import annotations
@@ -26,17 +26,32 @@ from tracelake.llm.components import connected_components
 from tracelake.llm.shared import table, written
 from tracelake.llm.vectext import SHINGLE_WORDS, buffers, mix64, shingle_rows, signed
 
-M, K = 8, 2
-PER_SIDE = 256  # members confirmed against one copy of their pivot's text
-PIVOT_ROUNDS = 6
-FEW = 4  # all cross-component pairs are confirmed once they are at most FEW times the bucket rows
+M, K = 16, 4
+PARITIES = 8  # longs of 64 bins each
+SIDES = 1024  # a pivot's members are dealt over so many tasks at most
 
 
 def _signatures(size: int, m: int, k: int):
     n = 2 * m * k
     with np.errstate(over="ignore"):
         mult = mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+        flip = mix64(mult)
         salt = mix64(np.arange(1, 2 * m + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+    side = np.repeat(np.array([0, 1], np.uint64), m)
+
+    def half_keys(sets: list[np.ndarray]) -> np.ndarray:
+        """The 2 * m half keys of each set; the lowest bit says which collection a half key is of."""
+        every = np.concatenate(sets)
+        cuts = np.cumsum([0] + [len(x) for x in sets[:-1]])
+        low = np.empty((len(sets), n), np.uint64)
+        for j in range(n):
+            v = every ^ flip[j]
+            v *= mult[j]
+            low[:, j] = np.minimum.reduceat(v, cuts)
+        key = np.broadcast_to(salt, (len(sets), 2 * m))
+        for c in range(k):
+            key = mix64(key ^ low.reshape(-1, 2 * m, k)[:, :, c])
+        return (key & ~np.uint64(1)) | side
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,6 +60,7 @@ def _signatures(size: int, m: int, k: int):
             count = np.zeros(rows, np.int64)
             prints = np.zeros((rows, 2), np.uint64)
             keys = np.zeros((rows, 2 * m), np.uint64)
+            sets, at, held = [], [], 0
             with np.errstate(over="ignore"):
                 for i, runs, _ in shingle_rows(raw, offsets, size):
                     if not len(runs):
@@ -53,16 +69,14 @@ def _signatures(size: int, m: int, k: int):
                     count[i] = len(own)
                     prints[i, 0] = own.sum(dtype=np.uint64)
                     prints[i, 1] = mix64(own ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)
-                    low = np.empty(n, np.uint64)
-                    for j in range(n):
-                        v = own * mult[j]
-                        v ^= v >> np.uint64(32)
-                        low[j] = (v * mult[j]).min()
-                    half = low.reshape(2 * m, k)
-                    key = salt.copy()
-                    for c in range(k):
-                        key = mix64(key ^ half[:, c])
-                    keys[i] = key
+                    sets.append(own)
+                    at.append(i)
+                    held += len(own)
+                    if held >= 100_000:
+                        keys[at] = half_keys(sets)
+                        sets, at, held = [], [], 0
+                if sets:
+                    keys[at] = half_keys(sets)
             flat = signed(keys.reshape(-1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(count), pa.array(signed(prints[:, 0])), pa.array(signed(prints[:, 1])), pa.ListArray.from_arrays(np.arange(0, 2 * m * (rows + 1), 2 * m, dtype=np.int32), pa.array(flat))],
@@ -72,6 +86,21 @@ def _signatures(size: int, m: int, k: int):
     return run
 
 
+def _shingles(size: int):
+    """Each text's shingles, and the parities of how many of them fall in each of 64 * PARITIES bins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(a, 256) for a in range(0, batch.num_rows, 256)):
+                sets = [np.unique(runs) for _, runs, _ in shingle_rows(*buffers(part.column(1)), size)]
+                bits = [np.packbits((np.bincount((x % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1).astype(bool)).view(np.int64) for x in sets]
+                cuts = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+                even = np.arange(0, PARITIES * (len(sets) + 1), PARITIES, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(cuts).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(signed(np.concatenate(sets)))), pa.ListArray.from_arrays(pa.array(even), pa.array(np.concatenate(bits)))], names=["id", "n", "shingles", "odd"])
+
+    return run
+
+
 def _confirm(size: int, percent: int):
     """Rows of one (pivot, side) come together, the pivot's own text first; yields the pairs whose full sets are similar enough."""
 
@@ -105,11 +134,10 @@ def _confirm(size: int, percent: int):
 def confirm_pairs(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE_WORDS, percent: int = 85) -> DataFrame:
     """Of ``pairs`` (a, b) of ids in ``texts`` (id, text), those with 100 * intersection >= percent * union.
 
-    Each member's text travels once per pivot ``a``, the pivot's text once per ``PER_SIDE`` members or so: a pivot with
-    very many members is dealt over many tasks.
+    The members ``b`` of a pivot ``a`` are dealt over up to ``SIDES`` sides; each member's text travels once, the pivot's
+    once for each side, so a pivot with very many members is no single task's work.
     """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_SIDE).alias("sides"))
-    dealt = pairs.join(sizes, "a").withColumn("side", F.pmod(F.xxhash64("b"), F.col("sides")))
+    dealt = pairs.withColumn("side", F.pmod(F.xxhash64("b"), F.lit(SIDES)))
     wanted = dealt.select(F.col("b").alias("id"), "a", "side", F.lit(1).alias("own")).unionByName(dealt.select(F.col("a").alias("id"), "a", "side", F.lit(0).alias("own")).distinct())
     rows = wanted.join(texts, "id").select("a", "side", "own", "id", "text")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -127,55 +155,55 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = written(base.mapInArrow(_signatures(size, m, k), "id long, n_shingles long, f0 long, f1 long, half array<long>"), "nd-signatures")
     some = sig.where("id is not null and n_shingles > 0")
     classes = some.groupBy("f0", "f1", "n_shingles").agg(F.min("id").alias("rep"))
-    member = written(some.select("id", "f0", "f1", "n_shingles").distinct().join(classes, ["f0", "f1", "n_shingles"]).select("id", "rep", "n_shingles", "f0", "f1"), "nd-members")
+    member = written(some.join(classes, ["f0", "f1", "n_shingles"]).select("id", "rep", "n_shingles", F.when(F.col("id") == F.col("rep"), F.col("half")).alias("half")), "nd-members")
 
-    reps = some.join(member.where("id = rep").select("id", "n_shingles", "f0", "f1"), ["id", "n_shingles", "f0", "f1"], "left_semi").dropDuplicates(["id", "f0", "f1"])
-    halves = reps.select("id", F.posexplode("half").alias("pos", "half"))
+    halves = member.where("half is not null").select("id", F.col("n_shingles").alias("n"), F.explode("half").alias("half"))
     common = halves.groupBy("half").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("half")
-    shared = halves.join(common, "half")
-    sides = shared.groupBy("id").agg(F.collect_set(F.when(F.col("pos") < m, F.col("half"))).alias("left"), F.collect_set(F.when(F.col("pos") >= m, F.col("half"))).alias("right"))
-    keys = sides.select("id", F.explode("left").alias("l"), "right").select("id", "l", F.explode("right").alias("r")).select("id", F.xxhash64("l", "r").alias("key"))
-    keys = written(keys, "nd-keys")
+    shared = halves.join(common, "half").groupBy("id", "n").agg(F.collect_set("half").alias("half"))
+    sides = shared.select("id", "n", F.filter("half", lambda h: h.bitwiseAND(1) == 0).alias("left"), F.filter("half", lambda h: h.bitwiseAND(1) == 1).alias("right"))
+    keys = written(sides.select("id", "n", F.explode("left").alias("l"), "right").select("id", "n", "l", F.explode("right").alias("r")).select("id", "n", F.xxhash64("l", "r").alias("key")), "nd-keys")
     pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
     buckets = written(keys.join(pivots, "key"), "nd-buckets")
-
     texts = written(base.where("id is not null").join(buckets.select("id").distinct(), "id", "left_semi"), "nd-texts")
-    sets = member.select("id", "n_shingles").groupBy("id").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Without pairs whose set sizes alone rule a link out."""
-        x, y = (sets.select(F.col("id").alias(c), F.col("lo").alias(f"{c}_lo"), F.col("hi").alias(f"{c}_hi")) for c in ("a", "b"))
-        return pairs.join(x, "a").join(y, "b").where(f"100 * a_hi >= {percent} * b_lo and 100 * b_hi >= {percent} * a_lo").select("a", "b")
 
+    tried = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     same = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    tried = written(possible(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()), "nd-pairs")
-    links = written(confirm_pairs(tried, texts, size, percent), "nd-links")
-    for turn in range(PIVOT_ROUNDS + 1):
-        labels = connected_components(same.unionByName(links))
-        # what is left: buckets whose members lie in several components
-        placed = buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        left = written(placed.join(mixed, "key"), "nd-left")
-        by_part = left.groupBy("key", "component").agg(F.count("*").alias("n"))
-        load = by_part.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2")).agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("cross")).first()
-        if not load["rows"]:
-            return _result(sig, labels, id_col)
-        done = turn == PIVOT_ROUNDS or load["cross"] <= FEW * load["rows"] + 10_000
-        if done:
-            x, y = left.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), left.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-            fresh = x.join(y, "key").where("ca <> cb and a < b").select("a", "b")
-        else:
-            # the next pivot of a bucket: its smallest member in a component other than the first pivot's
-            first = by_part.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-            nxt = left.join(first, "key").where("component <> main").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("p"))
-            fresh = left.join(nxt, "key").join(labels.select(F.col("id").alias("p"), F.col("component").alias("pc")), "p", "left").where("id <> p and component <> coalesce(pc, p)").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-        fresh = written(possible(fresh.distinct()).join(tried, ["a", "b"], "left_anti"), "nd-pairs")
-        found = written(confirm_pairs(fresh, texts, size, percent), "nd-links")
-        links = links.unionByName(found)
-        if done:
-            return _result(sig, connected_components(same.unionByName(links)), id_col)
-        tried = tried.unionByName(fresh)
-    raise AssertionError("the last round always ends")
+    labels = connected_components(same.unionByName(confirm_pairs(tried, texts, size, percent)))
+    # what is left: buckets whose members lie in several components
+    placed = buckets.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    left = written(placed.join(mixed, "key").select("id", "n", "component").distinct(), "nd-left")
+    if not left.limit(1).count():
+        return _result(sig, labels, id_col)
+    found = written(confirm_pairs(prefix_pairs(left, texts, size, percent), texts, size, percent), "nd-links")
+    if found.limit(1).count():
+        # found links join components, so only those are gone over again
+        ends = [labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
+        joins = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = connected_components(joins)
+        known = labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
+        labels = written(known.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")), "nd-labels")
+    return _result(sig, labels, id_col)
+
+
+def prefix_pairs(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``left`` (id, n, component) in different components that can be similar enough.
+
+    Three exact filters.  Prefix: with shingles in one global order, rarest first, two sets that are similar enough share
+    one of their n - ceil(percent * n) + 1 first ones; a set whose first ones are all its own drops out before any pair is
+    formed.  Length: the set sizes.  Difference: sets of sizes x and y that are similar enough differ in at most
+    (x + y) * (100 - percent) / (100 + percent) shingles, and each bin whose parity differs holds one of those.
+    """
+    sets = written(texts.join(left.select("id"), "id", "left_semi").mapInArrow(_shingles(size), "id long, n long, shingles array<long>, odd array<long>"), "nd-shingles")
+    rows = sets.select("id", "n", F.explode("shingles").alias("h"))
+    often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    shared = rows.join(often, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+    first = f"slice(s, 1, greatest(0, cast(n - ({percent} * n + 99) div 100 + 1 - (n - size(s)) as int)))"
+    prefix = shared.join(left, ["id", "n"]).join(sets.select("id", "n", "odd"), ["id", "n"]).select("id", "n", "component", "odd", F.explode(F.expr(first)).alias("s")).select("id", "n", "component", "s.h", *[F.get("odd", F.lit(k)).alias(f"p{k}") for k in range(PARITIES)])
+    x, y = (prefix.select("h", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}"), *[F.col(f"p{k}").alias(f"{c}{k}") for k in range(PARITIES)]) for c in ("a", "b"))
+    differ = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(PARITIES))
+    alike = f"ca <> cb and a < b and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na and {100 + percent} * ({differ}) <= {100 - percent} * (na + nb)"
+    return x.join(y, ["h"]).where(alike).select("a", "b").distinct()
 
 
 def _result(sig: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
@@ -184,5 +212,19 @@ def _result(sig: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     return out.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), (F.col("id").isNull() | (F.col("id") == comp)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest id; of repeated rows one stays.
+
+    Rows with a null id all stay.
+    """
+    found = written(near_duplicates(docs, id_col, text_col, **how), "nd-found")
+    own = F.col(id_col)
+    left = docs.join(found.where("not kept").select(own).distinct(), id_col, "left_anti").select(docs.columns)
+    again = found.where(own.isNotNull()).groupBy(own).agg(F.count("*").alias("n")).where("n > 1").select(own)
+    if not again.limit(1).count():
+        return left
+    return left.join(again, id_col, "left_anti").select(docs.columns).unionByName(left.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col]))
+
+
 def op10_minhash_near_dup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
