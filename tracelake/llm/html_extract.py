@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import table
+from tracelake.llm.shared import table, written
 from tracelake.llm.url_filter import host_of
 
 MIN_CLASS = 3
 MIN_PAGES = 3
+#: Templates of up to so many bytes (measured) go to every task; larger ones are joined with the pages by host.
+BROADCAST_BYTES = 32 << 20
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -268,7 +270,10 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     other columns are ignored.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    known = templates(rows.select("host", "html"))
+    known = written(templates(rows.select("host", "html")), "html-templates")
+    size = known.agg(F.sum(16 + F.octet_length("host") + 8 * F.size("tokens"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        known = F.broadcast(known)
     return rows.join(known, "host", "left").select("page_id", "url", "host", "html", "tokens").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
