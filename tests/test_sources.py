@@ -197,3 +197,13 @@ def test_stream_of_a_folder(spark, tmp_path):
         assert sorted(r.v for r in spark.table("measured").collect()) == [float(k) for k in range(20)]
     finally:
         q.stop()
+
+
+def test_long_values_are_read_in_pieces(tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "SIGNAL_BYTES", 100)
+    texts = [b"x" * (k * 7 % 90) for k in range(50)]
+    at = np.concatenate([[0], np.cumsum([4 + len(t) for t in texts])[:-1]]).astype("<u8")
+    for layout in ("sd", "dl_spanning", "hl_dl_dz"):
+        g = X.Group([X.Chan("s", 7, 0, 64, type=1, signal=texts, signal_layout=layout)], at.tobytes(), 50, 8)
+        got = columns(source(tmp_path, X.Writer().file([X.Data([g])])))
+        assert got["s"] == [t.decode() for t in texts] and got["record_index"] == list(range(50))

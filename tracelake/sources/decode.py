@@ -17,6 +17,7 @@ UINT, UINT_BE, SINT, SINT_BE, REAL, REAL_BE, LATIN1, UTF8, UTF16, UTF16_BE, BYTE
 LITTLE = frozenset({0, 2, 4, 8, 15})
 CHARSETS = {LATIN1: "latin-1", UTF8: "utf-8", UTF16: "utf-16-le", UTF16_BE: "utf-16-be"}
 CHUNK_BYTES = 8 << 20
+SIGNAL_BYTES = 32 << 20
 
 
 def width(c: Channel) -> int:
@@ -146,6 +147,20 @@ def _batch(records: np.ndarray, first: int, channels: list[Channel], group: Chan
     return pa.RecordBatch.from_arrays(cols, names=["record_index", *[c.column for c in channels]])
 
 
+def _pieces(records: np.ndarray, first: int, channels: list[Channel], signals: dict[int, SignalData]) -> Iterator[tuple[np.ndarray, int]]:
+    """Runs of records whose variable-length values span at most SIGNAL_BYTES of a stream (or single records)."""
+    if len(records) > 1:
+        for c in channels:
+            if c.index in signals:
+                at = np.ascontiguousarray(records[:, c.byte_offset : c.byte_offset + 8]).view("<u8")[:, 0]
+                if int(at.max()) - int(at.min()) > SIGNAL_BYTES:
+                    half = len(records) // 2
+                    yield from _pieces(records[:half], first, channels, signals)
+                    yield from _pieces(records[half:], first + half, channels, signals)
+                    return
+    yield records, first
+
+
 def signal_links(src: Source, channels: list[Channel]) -> dict[int, SignalData]:
     """Streams of variable-length channels whose data link is not a channel group."""
     return {c.index: SignalData(Stream(src, fragments(src, c.data_at))) for c in channels if c.is_vlsd and c.data_at and header(src, c.data_at)[0] != "##CG"}
@@ -166,7 +181,8 @@ def read_sorted(src: Source, group: ChannelGroup, channels: list[Channel], first
     for a in range(first, last, step):
         b = min(last, a + step)
         data = stream.read(a * size, b * size)
-        yield _batch(np.frombuffer(data, np.uint8).reshape(b - a, size), a, channels, group, signals, {})
+        for part, at in _pieces(np.frombuffer(data, np.uint8).reshape(b - a, size), a, channels, signals):
+            yield _batch(part, at, channels, group, signals, {})
 
 
 @dataclass
