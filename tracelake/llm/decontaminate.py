@@ -142,3 +142,19 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_A, _Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Distinct shingles of a text column, as SQL.
+SHINGLES_SQL = rf"""list_distinct(list_transform(range(1, greatest(len(w) - {SHINGLE_WORDS - 1}, least(len(w), 1)) + 1), lambda i: array_to_string(w[i:i + {SHINGLE_WORDS - 1}], ' ')))"""
+WORDS_SQL = rf"""regexp_extract_all(translate(coalesce(text, ''), '{_A}', '{_Z}'), '[^\x20\x09-\x0D]+')"""
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {WORDS_SQL} AS w FROM documents),
+i AS (SELECT row_number() OVER () AS j, item_id, {WORDS_SQL} AS w FROM benchmark),
+ds AS (SELECT k, unnest({SHINGLES_SQL}) AS g FROM d),
+il AS (SELECT j, item_id, {SHINGLES_SQL} AS s FROM i),
+it AS (SELECT j, unnest(s) AS g FROM il),
+c AS (SELECT k, j, count(*) AS shared FROM ds JOIN it USING (g) GROUP BY k, j)
+SELECT doc_id, item_id, len(s)::BIGINT AS item_shingles, shared::BIGINT AS shared_shingles, shared::DOUBLE / len(s) AS containment
+FROM c JOIN d USING (k) JOIN il USING (j) WHERE 100 * shared >= {PERCENT} * len(s)
+"""

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.components import connected_components
+from tracelake.llm.decontaminate import SHINGLES_SQL, WORDS_SQL
 from tracelake.llm.shared import table, written
 from tracelake.llm.vectext import SHINGLE_WORDS, buffers, mix64, shingle_rows, signed
 
@@ -228,3 +229,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def op10_minhash_near_dup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, {WORDS_SQL} AS w FROM documents),
+l AS (SELECT k, doc_id, {SHINGLES_SQL} AS s FROM d),
+u AS (SELECT k, unnest(s) AS g FROM l),
+c AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM u a JOIN u b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM c JOIN l x ON c.a = x.k JOIN l y ON c.b = y.k WHERE 100 * shared >= 85 * (len(x.s) + len(y.s) - shared)),
+z AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d WHERE doc_id IS NOT NULL UNION SELECT r.a, z.b FROM r JOIN z ON r.b = z.a),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT l.doc_id, len(s)::BIGINT AS n_shingles, component_id, coalesce(l.doc_id = component_id, true) AS kept FROM l LEFT JOIN m ON l.doc_id = m.doc_id
+"""

@@ -30,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_cascade": quality.OP4_SQL,
         "op5_url_filter": url_filter.OP5_SQL,
         "op6_weighted_fair_mix": mixing.OP6_SQL,
+        "op8_benchmark_decontamination": decontaminate.OP8_SQL,
+        "op10_minhash_near_dup": near_dup.OP10_SQL,
     }
