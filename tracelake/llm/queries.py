@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_writer": warc.OP1_SQL,
         "op3_license_scan": license_scan.OP3_SQL,
         "op4_quality_cascade": quality.OP4_SQL,
         "op5_url_filter": url_filter.OP5_SQL,

@@ -226,3 +226,15 @@ def op1_warc_writer(spark, sf_dir: str) -> DataFrame:
     uri = f"{at if '://' in at else 'file://' + at}/warc-{uuid.uuid4().hex}"
     manifest = write_warc(table(spark, sf_dir, "pages"), uri)
     return read_warc(spark, uri, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+#: Base32 of a SHA-1: 32 digits of five bits, each out of two hexadecimal digits.
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages),
+h AS (SELECT *, sha1(payload) AS h, '0123456789abcdef' AS x FROM p)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((strpos(x, substr(h, 5 * i // 4 + 1, 1)) - 1) * 16 + strpos(x, substr(h, 5 * i // 4 + 2, 1)) - 1) >> (3 - (5 * i) % 4)) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to, true AS intact
+FROM h
+"""
