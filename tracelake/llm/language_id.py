@@ -70,13 +70,16 @@ class PPM:
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", *, per_lang: int = SAMPLE_PER_LANG, depth: int = DEPTH) -> PPM:
     """Fit on at most ``per_lang`` whole texts of each language: those with the smallest hash of the key.
 
-    The hashes are ranked on two narrow columns (Spark keeps only ``per_lang`` of each group before the shuffle); texts
-    are counted in batches on the executors, and only counts of byte runs come to the driver: their number is bounded by
-    the sample.
+    The hashes are ranked on two narrow columns, only the lowest of each language; the table of languages (their number
+    is that of distinct labels) is broadcast.  Texts are counted in batches on the executors, and only counts of byte
+    runs come to the driver: their number is bounded by the sample.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(key_col).cast("string")).alias("h"))
+    # only about 4 * per_lang rows of a language are ranked: those in the lowest share of the hash's range
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    low = rows.select("lang", "h").join(F.broadcast(counts), "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n") <= 4 * per_lang)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cuts = rows.select("lang", "h").withColumn("r", rank).where(F.col("r") <= per_lang).groupBy("lang").agg(F.max("h").alias("cut"))
+    cuts = low.withColumn("r", rank).where(F.col("r") <= per_lang).groupBy("lang").agg(F.max("h").alias("cut"))
     picked = rows.join(F.broadcast(cuts), "lang").where("h <= cut").select("lang", "text")
 
     def bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
