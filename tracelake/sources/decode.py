@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -185,12 +184,6 @@ def read_sorted(src: Source, group: ChannelGroup, channels: list[Channel], first
             yield _batch(part, at, channels, group, signals, {})
 
 
-@dataclass
-class _Route:
-    group: ChannelGroup
-    wanted: bool
-
-
 def read_unsorted(src: Source, groups: list[ChannelGroup], group: ChannelGroup, channels: list[Channel]) -> Iterator[pa.RecordBatch]:
     """The records of one group of a data group whose records are mixed, in file order.
 
@@ -203,15 +196,16 @@ def read_unsorted(src: Source, groups: list[ChannelGroup], group: ChannelGroup,
     owner = {g.record_id: links[g.at].index for g in routes.values() if g.at in links}
     signals = signal_links(src, channels)
     stream = Stream(src, fragments(src, group.data_at))
-    rows: list[bytes] = []
+    kinds = {i: (g.is_vlsd, g.row_bytes, g is group, owner.get(i)) for i, g in routes.items()}
+    rows = np.zeros((0, group.row_bytes), np.uint8)
+    inside = np.arange(group.row_bytes)
     texts: dict[int, list[bytes]] = {k: [] for k in owner.values()}
     done, left, at = 0, b"", 0
 
     def flush(n: int) -> pa.RecordBatch:
-        nonlocal done
-        data = np.frombuffer(b"".join(rows[:n]), np.uint8).reshape(n, group.row_bytes)
-        batch = _batch(data, done, channels, group, signals, {k: v[:n] for k, v in texts.items()})
-        del rows[:n]
+        nonlocal done, rows
+        batch = _batch(rows[:n], done, channels, group, signals, {k: v[:n] for k, v in texts.items()})
+        rows = rows[n:]
         for v in texts.values():
             del v[:n]
         done += n
@@ -220,35 +214,35 @@ def read_unsorted(src: Source, groups: list[ChannelGroup], group: ChannelGroup,
     while at < stream.length or left:
         data = left + stream.read(at, at + CHUNK_BYTES)
         at = min(stream.length, at + CHUNK_BYTES)
-        p, end = 0, len(data)
+        p, end, places = 0, len(data), []
         while p + rid <= end:
-            g = routes.get(record_id := int.from_bytes(data[p : p + rid], "little"))
-            if g is None:
+            record_id = data[p] if rid == 1 else int.from_bytes(data[p : p + rid], "little")
+            kind = kinds.get(record_id)
+            if kind is None:
                 raise MeasurementFileError(f"{src.path}: record id {record_id} is unknown")
+            variable, n, mine, to = kind
             q = p + rid
-            if g.is_vlsd:
+            if variable:
                 if q + 4 > end:
                     break
                 n = int.from_bytes(data[q : q + 4], "little")
-                if q + 4 + n > end:
-                    break
-                if record_id in owner:
-                    texts[owner[record_id]].append(data[q + 4 : q + 4 + n])
-                p = q + 4 + n
-            else:
-                if q + g.row_bytes > end:
-                    break
-                if g is group:
-                    rows.append(data[q : q + g.row_bytes])
-                p = q + g.row_bytes
+                q += 4
+            if q + n > end:
+                break
+            if mine and not variable:
+                places.append(q)
+            elif to is not None:
+                texts[to].append(data[q : q + n])
+            p = q + n
+        if places:
+            rows = np.concatenate([rows, np.frombuffer(data, np.uint8)[np.array(places)[:, None] + inside]])
         left = data[p:]
         if at >= stream.length and left:
-            if p == 0 or at >= stream.length:
-                raise MeasurementFileError(f"{src.path}: {len(left)} bytes are left over at the end of the records")
+            raise MeasurementFileError(f"{src.path}: {len(left)} bytes are left over at the end of the records")
         ready = min([len(rows), *[len(v) for v in texts.values()]])
         if ready:
             yield flush(ready)
-    if rows and texts:
+    if len(rows) and texts:
         for v in texts.values():
             v += [b""] * (len(rows) - len(v))
         yield flush(len(rows))
