@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import pytest
 from plain import prose, shingles
 from tracelake.llm import near_dup
 from tracelake.llm.components import connected_components
@@ -96,3 +97,14 @@ def test_whole_table(spark, sf):
     want = brute(rows)
     got = {r.doc_id: r.component_id for r in near_dup.op10_minhash_near_dup(spark, sf).collect()}
     assert got == want
+
+
+def test_pipeline_stage_links_from_80_percent_on(spark, frame):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = []
+    for k in range(0, 40, 2):  # pairs around the border, most of them between 0.80 and 0.85
+        text = prose(400 + k, 300)
+        rows += [(k, text), (k + 1, edited(text, 5 + k % 12, k))]
+    want, close = brute(rows, 80), brute(rows, 85)
+    assert len(set(want.values())) < len(set(close.values()))
+    assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, frame(rows), "").collect()) == sorted(set(want.values()))
