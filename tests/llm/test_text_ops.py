@@ -1,12 +1,15 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from plain import LOWER, lower_words, prose, shingles, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,6 +144,17 @@ def test_language_odd_rows(frame, odd_rows):
     assert {r.lang_pred for r in language_id.predict(frame(odd_rows), none, keep=["doc_id"]).collect()} == {"und"}
 
 
+def test_stage_rejects_unlearned_languages_and_keeps_clean_text(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 600")
+    good = quality.keep_good(docs).select("doc_id", "text", "lang")
+    r = random.Random(7)
+    strange = ["tämä on suomenkielinen teksti joka ei kuulu tunnettuihin kieliin lainkaan ja sen pitäisi poistua " * 5, "привет как дела это русский текст " * 12, " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(r.randrange(3, 9))) for _ in range(90))]
+    rows = good.unionByName(spark.createDataFrame([(-1 - k, x, None) for k, x in enumerate(strange)], good.schema))
+    got = {x.doc_id for x in pipeline.known_language(spark, rows, "").collect()}
+    assert got == {x.doc_id for x in good.collect()}
+
+
 # --- licences
 
 def plain_licence(text):

@@ -25,6 +25,8 @@ DEPTH = 3
 #: The classifier is fitted on at most so many whole labelled texts of each language, those first in a fixed hash order.
 SAMPLE_PER_LANG = 800
 ALPHABET = 120
+#: A text that needs more than so many times the bits a byte of its language's training texts is in no learned language.
+SLACK = 1.75
 
 
 class PPM:
@@ -57,6 +59,12 @@ class PPM:
         bits = -np.log2(np.maximum(p, 1e-30))
         bits[:, Alphabet.OTHER] += np.log2(alphabet.others)
         tree.costs = bits.astype(np.float32)
+        #: Bits a byte of the training texts of each language under their own language.
+        self.usual = np.zeros(len(langs))
+        for k, lang in enumerate(langs):
+            codes, n = grams[lang]
+            spent = tree.costs[tree.place(depth, codes // a), codes % a, k].astype(np.float64)
+            self.usual[k] = (n * spent).sum() / max(1, n.sum())
 
     def code_lengths(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text under each language."""
@@ -153,8 +161,12 @@ def predict(docs: DataFrame, model: PPM, *, text_col: str = "text", keep: list[s
     return rows.mapInArrow(run, ddl)
 
 
-def keep_known(docs: DataFrame, model: PPM, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter and, under the model, one language of posterior ``least`` or more."""
+def keep_known(docs: DataFrame, model: PPM, text_col: str = "text", least: float = 0.5, slack: float = SLACK) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and, under the model, one language of posterior ``least`` or more that codes it well.
+
+    The posterior only ranks the learned languages; that a text is in none of them shows in its bits a byte, which may be
+    ``slack`` times those of the language's training texts at most.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
     letter = re.compile(r"[^\W\d_]")
@@ -165,8 +177,10 @@ def keep_known(docs: DataFrame, model: PPM, text_col: str = "text", least: float
             column = batch.column(at)
             keep = np.array([bool(x and letter.search(x)) for x in map(pa.StringScalar.as_py, column)], dtype=bool)
             if ppm.langs and batch.num_rows:
-                bits = ppm.code_lengths(*buffers(column))
+                raw, offsets = buffers(column)
+                bits = ppm.code_lengths(raw, offsets)
                 gap = bits - bits.min(axis=1, keepdims=True)
+                keep &= bits.min(axis=1) <= slack * ppm.usual[bits.argmin(axis=1)] * np.diff(offsets)
                 keep &= 1 / np.exp2(-np.minimum(gap, 1000)).sum(axis=1) >= least
             yield batch.filter(pa.array(keep))
 
