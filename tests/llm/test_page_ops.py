@@ -124,6 +124,21 @@ def test_template_finds_the_slots_of_pages_without_an_article(pages):
     assert html_extract.extracted(pages([])).collect() == []
 
 
+def test_template_comes_before_marked_regions(pages):
+    menu = "<nav><p>Home</p></nav>"
+    notice = "<p>Read our other stories every day</p><p>Letters to the desk are welcome</p>"
+    rows = [(k, f"http://a.org/{k}", f"<body>{menu}<article><p>story {k} tells {k * 7}</p>{notice}</article></body>") for k in range(8)]
+    rows += [(100 + k, f"http://m.org/{k}", f"<body>{menu}<article><p>teaser {k}</p></article><main><p>the long body of page {k}</p><p>and its end {k * 3}</p></main></body>") for k in range(8)]
+    rows += [(200 + k, f"http://d.org/{k}", f"<body>{menu}<article><p>card {k}</p></article><div><p>the long body of page {k}</p></div></body>") for k in range(8)]
+    rows += [(300, "http://one.org/", f"<body>{menu}<article><p>only page of its host</p>{notice}</article></body>")]
+    got = {r.page_id: r.text for r in html_extract.extracted(pages(rows)).collect()}
+    for k in range(8):
+        assert got[k] == f"story {k} tells {k * 7}"
+        assert f"the long body of page {k}\nand its end {k * 3}" in got[100 + k]
+        assert f"the long body of page {k}" in got[200 + k]
+    assert got[300].split("\n") == ["only page of its host", "Read our other stories every day", "Letters to the desk are welcome"]
+
+
 def test_copies_of_one_page_are_no_template(pages):
     page = "<body><p>a</p><p>b</p><p>c</p></body>"
     assert {r.text for r in html_extract.extracted(pages([(k, "http://c.org/", page) for k in range(9)])).collect()} == {"a\nb\nc"}

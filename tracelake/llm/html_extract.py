@@ -4,9 +4,9 @@ Every page becomes a sequence of tokens that know their place: tags with their p
 wording.  Over the distinct pages of a host each token has an occurrence vector (how often it stands on each page);
 tokens that share a vector form an equivalence class.  Classes that are large (``MIN_CLASS`` tokens) and frequent (half
 of the host's pages, three at least) are valid: their tokens, nested by the page's element structure, are the host's
-template, and what lies between them are slots.  Slots are labelled by the elements around them; the article's slots (or,
-on pages that mark none, the slots outside menus, headers, footers and so on whose text is not mostly links) are the
-main text, blocks in page order.  Vectors are compared by sums of mixed hashes, so no vector is ever held in one place.
+template, and what lies between them are slots.  Slots are labelled by the elements around them; of the slots outside
+menus, headers, footers and so on, those of a marked article or main region that holds half of their text (else all whose
+text is not mostly links) are the main text, blocks in page order.  Vectors are compared by sums of mixed hashes, so no vector is ever held in one place.
 """
 
 from __future__ import annotations
@@ -206,14 +206,20 @@ def _text_token(b: Block) -> int:
 
 
 def main_text(page: str, template: frozenset[int]) -> str:
-    """The main slots' blocks of a page, given the tokens of its host's template."""
+    """The main slots' blocks of a page, given the tokens of its host's template.
+
+    Slots are what the template leaves (all blocks, where it leaves none or the host has none).  Labels only choose among
+    slots: those of the articles, else those of the main region, if they hold half of the free slots' text, else all.
+    """
     blocks, _ = parse(page)
+    free = [b for b in blocks if not b.label and (b.region or 2 * b.linked <= len(b.text))]
+    slots = [b for b in free if _text_token(b) not in template] or free
+    whole = sum(len(b.text) for b in slots)
     for region in (2, 1):
-        if own := [b.text for b in blocks if b.region >= region and not b.label]:
-            return "\n".join(own)
-    free = [b for b in blocks if not b.label and 2 * b.linked <= len(b.text)]
-    slots = [b for b in free if _text_token(b) not in template]
-    return "\n".join(b.text for b in slots or free)
+        own = [b for b in slots if b.region >= region]
+        if own and 2 * sum(len(b.text) for b in own) >= whole:
+            return "\n".join(b.text for b in own)
+    return "\n".join(b.text for b in slots)
 
 
 def _signed(x: int) -> int:
