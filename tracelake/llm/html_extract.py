@@ -3,8 +3,8 @@
 Every page becomes a sequence of tokens that know their place: tags with their path, and text blocks with their path and
 wording.  Over the distinct pages of a host each token has an occurrence vector (how often it stands on each page);
 tokens that share a vector form an equivalence class.  Classes that are large (``MIN_CLASS`` tokens) and frequent (half
-of the host's pages, three at least) are valid: their tokens, nested by the page's element structure, are the host's
-template, and what lies between them are slots.  Slots are labelled by the elements around them; of the slots outside
+of the host's pages, three at least) are valid: their tokens are the host's template, and text blocks that are not among
+them are slots (the order and nesting of classes is not looked at).  Slots are labelled by the elements around them; of the slots outside
 menus, headers, footers and so on, those of a marked article or main region that holds half of their text (else all whose
 text is not mostly links) are the main text, blocks in page order.  Vectors are compared by sums of mixed hashes, so no vector is ever held in one place.
 """
