@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import written
+from tracelake.llm.shared import Scratch
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -16,17 +16,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     label changes; ``max_rounds`` is only a guard and raises, it never returns half-merged labels.  Loops, repeated
     edges and an empty table are fine; rows with a null end are ignored.
     """
+    keep = Scratch(edges.sparkSession, "components")
     e = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "cc-labels")
+    both = keep.write(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    labels = keep.write(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     for turn in range(max_rounds):
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         if turn:  # stars are done after the first round; longer chains are shortened by jumps
             jump = labels.select(F.col("id").alias("c"), F.col("component").alias("far"))
             step = step.withColumnRenamed("component", "c").join(jump, "c", "left").select("id", "old", F.least("c", F.coalesce("far", "c")).alias("component"))
-        new = written(step, "cc-labels")
+        new = keep.write(step, f"labels{turn}")
         if new.where("component <> old").limit(1).count() == 0:
-            return labels
+            keep.keep_only(f"labels{turn}")
+            return new.select("id", "component")
+        keep.keep_only("edges", f"labels{turn}")
         labels = new.select("id", "component")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")

@@ -6,11 +6,12 @@ similarity s meet in some table with probability (1 - (1 - s**K)**M)**2: 0.99998
 
 1. Each document's distinct 5-word shingles become hashes (Arrow batches); equal sets collapse to their smallest id.
 2. Half keys that only one set has are dropped before any pair of half keys is formed.
-3. In each table bucket members are paired with the bucket's smallest id only (a star, never all pairs).  Pairs are
-   confirmed on the full texts' shingle sets and give links; links give components.
-4. Members of buckets that still hold several components may be linked across them.  Of those, an exact prefix filter
-   (shingles in global order, rarest first) leaves the pairs that can be similar enough, and every one is confirmed: no
-   candidate is dropped, and passages shared by otherwise different texts make no pairs.
+3. In the tables of the diagonal (the i-th half key of either collection) members are paired with a bucket's smallest id
+   only (a star, never all pairs).  Pairs are confirmed on the full texts' shingle sets and give links; links give components.
+4. Half keys, then tables of the whole square, whose members are all in one component are dropped.  Members of what is
+   left may be linked across components: exact filters (prefixes by the sizes of both sets, then parities) leave the pairs
+   that can be similar enough, and every one is confirmed.  No candidate is dropped, and passages or templates shared by
+   otherwise different texts make no pairs.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.components import connected_components
 from tracelake.llm.decontaminate import SHINGLES_SQL, WORDS_SQL
-from tracelake.llm.shared import table, written
+from tracelake.llm.shared import Scratch, if_small, table, written
 from tracelake.llm.vectext import SHINGLE_WORDS, buffers, mix64, shingle_rows, signed
 
 M, K = 16, 4
 PARITIES = 8  # longs of 64 bins each
 SIDES = 1024  # a pivot's members are dealt over so many tasks at most
+ROW = 32  # bytes of a row of a few numbers, for the sizes of broadcasts
 
 
 def _signatures(size: int, m: int, k: int):
@@ -97,7 +99,7 @@ def _shingles(size: int):
                 bits = [np.packbits((np.bincount((x % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1).astype(bool)).view(np.int64) for x in sets]
                 cuts = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
                 even = np.arange(0, PARITIES * (len(sets) + 1), PARITIES, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(cuts).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(signed(np.concatenate(sets)))), pa.ListArray.from_arrays(pa.array(even), pa.array(np.concatenate(bits)))], names=["id", "n", "shingles", "odd"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(cuts).astype(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(signed(np.concatenate(sets)))), pa.ListArray.from_arrays(pa.array(even), pa.array(np.concatenate(bits)))], names=["id", "component", "n", "shingles", "odd"])
 
     return run
 
@@ -135,12 +137,13 @@ def _confirm(size: int, percent: int):
 def confirm_pairs(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE_WORDS, percent: int = 85) -> DataFrame:
     """Of ``pairs`` (a, b) of ids in ``texts`` (id, text), those with 100 * intersection >= percent * union.
 
-    The members ``b`` of a pivot ``a`` are dealt over up to ``SIDES`` sides; each member's text travels once, the pivot's
-    once for each side, so a pivot with very many members is no single task's work.
+    ``pairs`` is a written table.  The members ``b`` of a pivot ``a`` are dealt over up to ``SIDES`` sides; each member's
+    text travels once for each of its pivots, the pivot's once for each side, so a pivot with very many members is no
+    single task's work.
     """
     dealt = pairs.withColumn("side", F.pmod(F.xxhash64("b"), F.lit(SIDES)))
     wanted = dealt.select(F.col("b").alias("id"), "a", "side", F.lit(1).alias("own")).unionByName(dealt.select(F.col("a").alias("id"), "a", "side", F.lit(0).alias("own")).distinct())
-    rows = wanted.join(texts, "id").select("a", "side", "own", "id", "text")
+    rows = texts.join(if_small(wanted, ROW), "id").select("a", "side", "own", "id", "text")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "a", "side").sortWithinPartitions("a", "side", "own").mapInArrow(_confirm(size, percent), "a long, b long")
 
@@ -152,65 +155,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component and is kept.  Rows that repeat an id share its component; the same id under different texts joins their
     links.  Other columns of ``docs`` are not looked at, whatever their names.  An empty table gives an empty result.
     """
+    keep = Scratch(docs.sparkSession, "near-dup")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = written(base.mapInArrow(_signatures(size, m, k), "id long, n_shingles long, f0 long, f1 long, half array<long>"), "nd-signatures")
+    texts = base.where("id is not null")
+    sig = keep.write(base.mapInArrow(_signatures(size, m, k), "id long, n_shingles long, f0 long, f1 long, half array<long>"), "signatures")
+    rows = keep.write(sig.drop("half"), "rows")
     some = sig.where("id is not null and n_shingles > 0")
-    classes = some.groupBy("f0", "f1", "n_shingles").agg(F.min("id").alias("rep"))
-    member = written(some.join(classes, ["f0", "f1", "n_shingles"]).select("id", "rep", "n_shingles", F.when(F.col("id") == F.col("rep"), F.col("half")).alias("half")), "nd-members")
-
-    halves = member.where("half is not null").select("id", F.col("n_shingles").alias("n"), F.explode("half").alias("half"))
-    common = halves.groupBy("half").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("half")
-    shared = halves.join(common, "half").groupBy("id", "n").agg(F.collect_set("half").alias("half"))
-    sides = shared.select("id", "n", F.filter("half", lambda h: h.bitwiseAND(1) == 0).alias("left"), F.filter("half", lambda h: h.bitwiseAND(1) == 1).alias("right"))
-    keys = written(sides.select("id", "n", F.explode("left").alias("l"), "right").select("id", "n", "l", F.explode("right").alias("r")).select("id", "n", F.xxhash64("l", "r").alias("key")), "nd-keys")
-    pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    buckets = written(keys.join(pivots, "key"), "nd-buckets")
-    texts = written(base.where("id is not null").join(buckets.select("id").distinct(), "id", "left_semi"), "nd-texts")
-
-    tried = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    same = member.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    labels = connected_components(same.unionByName(confirm_pairs(tried, texts, size, percent)))
-    # what is left: buckets whose members lie in several components
-    placed = buckets.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = written(placed.join(mixed, "key").select("id", "n", "component").distinct(), "nd-left")
-    if not left.limit(1).count():
-        return _result(sig, labels, id_col)
-    found = written(confirm_pairs(prefix_pairs(left, texts, size, percent), texts, size, percent), "nd-links")
-    if found.limit(1).count():
-        # found links join components, so only those are gone over again
-        ends = [labels.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")]
-        joins = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        merged = connected_components(joins)
-        known = labels.unionByName(found.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
-        labels = written(known.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component")), "nd-labels")
-    return _result(sig, labels, id_col)
-
-
-def prefix_pairs(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """All pairs (a, b) of ``left`` (id, n, component) in different components that can be similar enough.
-
-    Three exact filters.  Prefix: with shingles in one global order, rarest first, two sets that are similar enough share
-    one of their n - ceil(percent * n) + 1 first ones; a set whose first ones are all its own drops out before any pair is
-    formed.  Length: the set sizes.  Difference: sets of sizes x and y that are similar enough differ in at most
-    (x + y) * (100 - percent) / (100 + percent) shingles, and each bin whose parity differs holds one of those.
+    classes = keep.write(some.groupBy("f0", "f1", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("half").alias("half")), "classes")
+    keep.drop("signatures")
+    copies = keep.write(classes.where("copies > 1").select("f0", "f1", "n_shingles", "rep"), "copies")
+    member = rows.join(if_small(copies, ROW), ["f0", "f1", "n_shingles"], "left").select("id", "n_shingles", F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("rep", "id")).alias("rep"))
+    member = keep.write(member, "member")
+    keep.drop("rows", "copies")
+
+    halves = classes.select(F.col("rep").alias("id"), F.posexplode("half").alias("at", "half"))
+    common = keep.write(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "common")
+    shared = keep.write(halves.join(if_small(common, ROW), "half"), "shared")
+    keep.drop("common", "classes")
+
+    # the diagonal's tables, by stars
+    pairs = shared.withColumn("at", F.col("at") % m).groupBy("id", "at").agg(F.min("half").alias("l"), F.max("half").alias("r"), F.count("*").alias("n")).where("n = 2 and l <> r")
+    keys = keep.write(pairs.select("id", F.xxhash64("at", "l", "r").alias("key")), "diagonal")
+    pivots = keep.write(keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot"), "pivots")
+    tried = keep.write(keys.join(if_small(pivots, ROW), "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "tried")
+    keep.drop("diagonal", "pivots")
+    # rows of one id under several texts are one document
+    several = keep.write(member.where("rep is not null").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("id", "a"), "several")
+    same = member.where("rep is not null").join(if_small(several, ROW), "id").select("a", F.col("rep").alias("b")).distinct()
+    links = keep.write(same.unionByName(confirm_pairs(tried, texts, size, percent)), "links")
+    labels = connected_components(links)
+    keep.drop("tried", "several")
+
+    left = across(shared, labels, m, keep)
+    keep.drop("shared")
+    if left.limit(1).count():
+        more = keep.write(confirm_pairs(keep.write(prefix_pairs(left, texts, size, percent, keep), "pairs"), texts, size, percent), "more")
+        if more.limit(1).count():
+            labels = connected_components(links.unionByName(more))
+    keep.keep_only("member")
+    placed = member.join(if_small(labels, ROW), member.rep == labels.id, "left").select(member.id, "n_shingles", F.coalesce("component", "rep", member.id).alias("component"))
+    return placed.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("component"))).alias("kept"))
+
+
+def across(shared: DataFrame, labels: DataFrame, m: int, keep: Scratch) -> DataFrame:
+    """(id, component) of the sets that meet a set of another component in some table.
+
+    ``shared`` (id, at, half) has every half key that two sets have.  First half keys within one component go, then
+    table keys; only sets with half keys of both collections left form table keys at all.
     """
-    sets = written(texts.join(left.select("id"), "id", "left_semi").mapInArrow(_shingles(size), "id long, n long, shingles array<long>, odd array<long>"), "nd-shingles")
-    rows = sets.select("id", "n", F.explode("shingles").alias("h"))
-    often = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    shared = rows.join(often, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
-    first = f"slice(s, 1, greatest(0, cast(n - ({percent} * n + 99) div 100 + 1 - (n - size(s)) as int)))"
-    prefix = shared.join(left, ["id", "n"]).join(sets.select("id", "n", "odd"), ["id", "n"]).select("id", "n", "component", "odd", F.explode(F.expr(first)).alias("s")).select("id", "n", "component", "s.h", *[F.get("odd", F.lit(k)).alias(f"p{k}") for k in range(PARITIES)])
-    x, y = (prefix.select("h", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}"), *[F.col(f"p{k}").alias(f"{c}{k}") for k in range(PARITIES)]) for c in ("a", "b"))
-    differ = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(PARITIES))
-    alike = f"ca <> cb and a < b and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na and {100 + percent} * ({differ}) <= {100 - percent} * (na + nb)"
-    return x.join(y, ["h"]).where(alike).select("a", "b").distinct()
+    placed = keep.write(shared.join(if_small(labels, ROW), "id", "left").select("id", "half", F.coalesce("component", "id").alias("component")), "placed")
+    mixed = keep.write(placed.groupBy("half").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("half"), "mixed")
+    open_ = placed.join(if_small(mixed, ROW), "half").groupBy("id", "component").agg(F.collect_set("half").alias("half"))
+    sides = open_.select("id", "component", F.filter("half", lambda h: h.bitwiseAND(1) == 0).alias("left"), F.filter("half", lambda h: h.bitwiseAND(1) == 1).alias("right"))
+    keys = keep.write(sides.select("id", "component", F.explode("left").alias("l"), "right").select("id", "component", "l", F.explode("right").alias("r")).select("id", "component", F.xxhash64("l", "r").alias("key")), "square")
+    tables = keep.write(keys.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "tables")
+    left = keep.write(keys.join(if_small(tables, ROW), "key").select("id", "component").distinct(), "left")
+    keep.drop("placed", "mixed", "square", "tables")
+    return left
+
+
+def size_bands(most: int, ratio: float = 1.02) -> np.ndarray:
+    """Lower ends of bands of set sizes: every size its own up to about 100, then steps of ``ratio``."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, int(out[-1] * ratio)))
+    return np.array(out)
+
+
+def overlap(x, y, percent: int):
+    """How many members sets of sizes x and y share at least, if 100 * intersection >= percent * union."""
+    return -(-(x + y) * percent // (100 + percent))
 
 
-def _result(sig: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    out = sig.select("id", "n_shingles").join(labels, "id", "left")
-    comp = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), (F.col("id").isNull() | (F.col("id") == comp)).alias("kept"))
+def _prefixes(percent: int):
+    """Rows of (id, n, component, shared shingles in global order) to one row for each prefix shingle and partner size.
+
+    Sets of sizes x and y that are similar enough share one of the x - overlap(x, y) + 1 rarest shingles of the one and the
+    y - overlap(x, y) + 1 rarest of the other.  As that depends on both sizes, a shingle is filed under both bands of
+    sizes: a template that many sets share is in none of these prefixes unless the sets are nearly similar enough.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = size_bands(1 << 10)
+        for batch in batches:
+            ids, sizes, components = (batch.column(c).to_pylist() for c in range(3))
+            cuts, flat = batch.column(3).offsets.to_numpy(), np.asarray(batch.column(3).values).view(np.uint64)
+            keys, owner = [], []
+            for i, n in enumerate(sizes):
+                if bands[-1] <= 2 * n:
+                    bands = size_bands(4 * n)
+                own = np.searchsorted(bands, n, side="right") - 1
+                lo = np.searchsorted(bands, -(-n * percent // 100), side="right") - 1
+                hi = np.searchsorted(bands, n * 100 // percent, side="right") - 1
+                mine = flat[cuts[i] : cuts[i + 1]]
+                for band in range(lo, hi + 1):
+                    least = max(int(bands[band]), -(-n * percent // 100))
+                    first = n - overlap(n, least, percent) + 1 - (n - len(mine))  # those that no other set has come first
+                    if first > 0:
+                        low, high = min(own, band), max(own, band)
+                        with np.errstate(over="ignore"):
+                            keys.append(mix64(mine[:first] ^ mix64(np.uint64(low << 32 | high))))
+                        owner.append(np.full(len(keys[-1]), i))
+            at = pa.array(np.concatenate(owner)) if owner else pa.array([], pa.int64())
+            key = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c).take(at) for c in (0, 1, 2, 4))], names=["key", "id", "n", "component", "odd"])
+
+    return run
+
+
+def prefix_pairs(left: DataFrame, texts: DataFrame, size: int, percent: int, keep: Scratch) -> DataFrame:
+    """All pairs (a, b) of ``left`` (id, component) in different components that can be similar enough.
+
+    Exact filters.  Prefix: with shingles in one global order, rarest first, two sets that are similar enough share one of
+    their first ones (``_prefixes``).  Only keys with several components are paired, and of those only rows outside the
+    key's largest component with the rest, so a large component is never paired with itself.  Difference: sets of sizes
+    x and y that are similar enough differ in at most (x + y) * (100 - percent) / (100 + percent) shingles, and each bin
+    whose parity differs holds one of those.
+    """
+    sets = keep.write(texts.join(if_small(left, ROW), "id").select("id", "text", "component").mapInArrow(_shingles(size), "id long, component long, n long, shingles array<long>, odd array<long>"), "sets")
+    one = ["id", "n", "odd"]  # an id may stand under several texts
+    rows = sets.select("id", "n", F.xxhash64("odd").alias("odd"), F.explode("shingles").alias("h"))
+    often = keep.write(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    ordered = rows.join(if_small(often, ROW), "h").groupBy(one).agg(F.transform(F.array_sort(F.collect_set(F.struct("df", "h"))), lambda x: x["h"]).alias("s"))
+    prefix = keep.write(ordered.join(sets.select("id", "n", "component", F.xxhash64("odd").alias("odd"), F.col("odd").alias("bins")), one).select("id", "n", "component", "s", "bins").mapInArrow(_prefixes(percent), "key long, id long, n long, component long, odd array<long>"), "prefixes")
+    keep.drop("sets", "often")
+    groups = prefix.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    mixed = keep.write(groups.groupBy("key").agg(F.max_by("component", "rows").alias("largest"), F.count("*").alias("components")).where("components > 1").select("key", "largest"), "keys")
+    some = keep.write(prefix.join(if_small(mixed, ROW), "key"), "some")
+    keep.drop("prefixes", "keys")
+    x, y = (rows.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}"), *[F.get("odd", F.lit(k)).alias(f"{c}{k}") for k in range(PARITIES)]) for c, rows in (("a", some.where("component <> largest")), ("b", some)))
+    differ = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(PARITIES))
+    alike = f"ca <> cb and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na and {100 + percent} * ({differ}) <= {100 - percent} * (na + nb)"
+    return x.join(y, "key").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -218,12 +294,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Rows with a null id all stay.
     """
-    found = written(near_duplicates(docs, id_col, text_col, **how), "nd-found")
+    found = written(near_duplicates(docs, id_col, text_col, **how), "near-dup-found")
     own = F.col(id_col)
-    left = docs.join(found.where("not kept").select(own).distinct(), id_col, "left_anti").select(docs.columns)
-    again = found.where(own.isNotNull()).groupBy(own).agg(F.count("*").alias("n")).where("n > 1").select(own)
+    gone = written(found.where("not kept").select(own).distinct(), "near-dup-gone")
+    left = docs.join(if_small(gone, ROW), id_col, "left_anti").select(docs.columns)
+    again = written(found.where(own.isNotNull() & F.col("kept")).groupBy(own).agg(F.count("*").alias("n")).where("n > 1").select(own), "near-dup-again")
     if not again.limit(1).count():
         return left
+    again = if_small(again, ROW)
     return left.join(again, id_col, "left_anti").select(docs.columns).unionByName(left.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col, text_col]))
 
 

@@ -6,26 +6,71 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Sides of at most so many bytes are broadcast; their size is measured first.
+BROADCAST_BYTES = 8 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is set only where the setting is absent (local tests)."""
+    """The session's checkpoint folder; one is set only where the setting is absent and Spark runs on this machine alone."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+class Scratch:
+    """Intermediate tables of one operator, written in the shared folder, so lineage is cut and lost executors do no harm.
+
+    Shuffle files of a table's making go once it is written; ``drop`` removes tables that nothing reads any more.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.held: set[str] = set()
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        while name in self.held:
+            name += "-"
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
+        self.held.add(name)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.held.discard(name)
+
+    def keep_only(self, *names: str) -> None:
+        self.drop(*(self.held - set(names)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).write(df, "all")
+
+
+def if_small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (a written table), marked for broadcasting if its rows of about ``row_bytes`` bytes take ``most`` bytes at most."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
