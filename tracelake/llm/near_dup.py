@@ -228,11 +228,12 @@ def overlap(x, y, percent: int):
 
 
 def _prefixes(percent: int):
-    """Rows of (id, n, component, shared shingles in global order) to one row for each prefix shingle and partner size.
+    """Rows of (id, n, component, shared shingles in global order) to one row for each prefix shingle and partner band.
 
     Sets of sizes x and y that are similar enough share one of the x - overlap(x, y) + 1 rarest shingles of the one and the
     y - overlap(x, y) + 1 rarest of the other.  As that depends on both sizes, a shingle is filed under both bands of
-    sizes: a template that many sets share is in none of these prefixes unless the sets are nearly similar enough.
+    sizes (``side``: 0 for sets of one band, else 1 from the lower and 2 from the higher one; 1 meets 2 only).  A template
+    that many sets share is in none of these prefixes unless the sets are nearly similar enough.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +241,7 @@ def _prefixes(percent: int):
         for batch in batches:
             ids, sizes, components = (batch.column(c).to_pylist() for c in range(3))
             cuts, flat = batch.column(3).offsets.to_numpy(), np.asarray(batch.column(3).values).view(np.uint64)
-            keys, owner = [], []
+            keys, owner, sides = [], [], []
             for i, n in enumerate(sizes):
                 if bands[-1] <= 2 * n:
                     bands = size_bands(4 * n)
@@ -256,9 +257,11 @@ def _prefixes(percent: int):
                         with np.errstate(over="ignore"):
                             keys.append(mix64(mine[:first] ^ mix64(np.uint64(low << 32 | high))))
                         owner.append(np.full(len(keys[-1]), i))
+                        sides.append(np.full(len(keys[-1]), (own < band) + 2 * (own > band)))
             at = pa.array(np.concatenate(owner)) if owner else pa.array([], pa.int64())
             key = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c).take(at) for c in (0, 1, 2, 4))], names=["key", "id", "n", "component", "odd"])
+            side = pa.array(np.concatenate(sides) if sides else np.zeros(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(key), side, *(batch.column(c).take(at) for c in (0, 1, 2, 4))], names=["key", "side", "id", "n", "component", "odd"])
 
     return run
 
@@ -277,16 +280,16 @@ def prefix_pairs(left: DataFrame, texts: DataFrame, size: int, percent: int, kee
     rows = sets.select("id", "n", F.xxhash64("odd").alias("odd"), F.explode("shingles").alias("h"))
     often = keep.write(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
     ordered = rows.join(if_small(often, ROW), "h").groupBy(one).agg(F.transform(F.array_sort(F.collect_set(F.struct("df", "h"))), lambda x: x["h"]).alias("s"))
-    prefix = keep.write(ordered.join(sets.select("id", "n", "component", F.xxhash64("odd").alias("odd"), F.col("odd").alias("bins")), one).select("id", "n", "component", "s", "bins").mapInArrow(_prefixes(percent), "key long, id long, n long, component long, odd array<long>"), "prefixes")
+    prefix = keep.write(ordered.join(sets.select("id", "n", "component", F.xxhash64("odd").alias("odd"), F.col("odd").alias("bins")), one).select("id", "n", "component", "s", "bins").mapInArrow(_prefixes(percent), "key long, side long, id long, n long, component long, odd array<long>"), "prefixes")
     keep.drop("sets", "often")
-    groups = prefix.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    mixed = keep.write(groups.groupBy("key").agg(F.max_by("component", "rows").alias("largest"), F.count("*").alias("components")).where("components > 1").select("key", "largest"), "keys")
+    groups = prefix.groupBy("key", "component").agg(F.count("*").alias("rows"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+    mixed = keep.write(groups.groupBy("key").agg(F.max_by("component", "rows").alias("largest"), F.count("*").alias("components"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("components > 1 and (hi = 0 or lo < hi)").select("key", "largest"), "keys")
     some = keep.write(prefix.join(if_small(mixed, ROW), "key"), "some")
     keep.drop("prefixes", "keys")
-    x, y = (rows.select("key", F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}"), *[F.get("odd", F.lit(k)).alias(f"{c}{k}") for k in range(PARITIES)]) for c, rows in (("a", some.where("component <> largest")), ("b", some)))
+    x, y = (rows.select("key", side.alias("side"), F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("component").alias(f"c{c}"), *[F.get("odd", F.lit(k)).alias(f"{c}{k}") for k in range(PARITIES)]) for c, rows, side in (("a", some.where("component <> largest"), F.pmod(-F.col("side"), F.lit(3))), ("b", some, F.col("side"))))
     differ = " + ".join(f"bit_count(a{k} ^ b{k})" for k in range(PARITIES))
     alike = f"ca <> cb and 100 * na >= {percent} * nb and 100 * nb >= {percent} * na and {100 + percent} * ({differ}) <= {100 - percent} * (na + nb)"
-    return x.join(y, "key").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return x.join(y, ["key", "side"]).where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
