@@ -109,7 +109,7 @@ ARTICLE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><scrip
 
 
 def test_article():
-    assert html_extract.main_text(ARTICLE, frozenset()).split("\n") == ["Head & tail", "One two three four five", "Unclosed end", "first", "second <p>", "a", "b"]
+    assert html_extract.main_text(ARTICLE).split("\n") == ["Head & tail", "One two three four five", "Unclosed end", "first", "second <p>", "a", "b"]
 
 
 def test_template_finds_the_slots_of_pages_without_an_article(pages):
@@ -139,6 +139,65 @@ def test_template_comes_before_marked_regions(pages):
     assert got[300].split("\n") == ["only page of its host", "Read our other stories every day", "Letters to the desk are welcome"]
 
 
+def plain_template(pages):
+    """{tokens of valid classes} of one host's pages, all at once: vectors, order and nesting as the definitions say."""
+    sequences = [html_extract.parse(p)[1] for p in dict.fromkeys(pages)]
+    every = {t for s in sequences for t in s}
+    by = {}
+    for t in every:
+        vector = tuple(s.count(t) for s in sequences)
+        if sum(map(bool, vector)) >= max(3, len(sequences) / 2):
+            by.setdefault(vector, []).append(t)
+    good = set()
+    for vector, tokens in by.items():
+        if len(tokens) < 3:
+            continue
+        runs = [[t for t in s if t in tokens] for s in sequences]
+        if all(r == (r[: len(tokens)]) * (len(r) // len(tokens)) and len(set(r[: len(tokens)])) == min(len(r), len(tokens)) for r in runs) and len({tuple(r[: len(tokens)]) for r in runs if r}) == 1:
+            good |= set(tokens)
+    return good
+
+
+def test_classes_against_plain_python(spark, pages):
+    from tracelake.llm.shared import Scratch
+
+    def page(k):
+        rows = "".join(f"<tr><td>name</td><td>v{k}{j}</td><td>unit</td></tr>" for j in range(1 + k % 3))
+        return f"<body><div><p>Welcome</p><p>News</p></div><table>{rows}</table><div id=x><p>story {k}</p></div><div class=q><p>Imprint</p></div></body>"
+
+    html = [page(k) for k in range(7)]
+    got = html_extract.templates(pages([(k, "http://h.org/", p) for k, p in enumerate(html)]).selectExpr("'h.org' AS host", "html"), Scratch(spark, "t")).collect()
+    assert len(got) == 1 and len(got[0].classes) == 2  # the rows of the table nest in the page's class
+    assert {t & (1 << 64) - 1 for c in got[0].classes for t in c.tokens} == plain_template(html)
+    template = html_extract.Template.of([c.asDict() for c in got[0].classes])
+    for k, p in enumerate(html):
+        own = html_extract.slots(*html_extract.parse(p), template)
+        assert [b.text for b in own] == [f"v{k}{j}" for j in range(1 + k % 3)] + [f"story {k}"]
+        assert len({b.slot for b in own}) == 2  # one slot for a cell of the rows, one for the story
+
+
+def test_order_and_nesting_of_classes():
+    of = lambda *classes: html_extract.Template.of([{"class": k + 1, "tokens": list(c)} for k, c in enumerate(classes)])
+    two = of((10, 11, 12), (20, 21))
+    assert html_extract.check([10, 20, 21, 20, 21, 11, 12], two) == ({}, {1: (0, 0), 2: (1, 0)}, set())
+    assert html_extract.check([10, 11, 20, 21, 12], two)[1][2] == (1, 1)
+    assert html_extract.check([10, 12, 11], two)[0] == {1: {1}} or html_extract.check([10, 12, 11], two)[0] == {1: {2}}
+    assert html_extract.check([10, 20, 11, 12, 21], two)[2] == {2}
+    assert html_extract.check([20, 21, 10, 20, 21, 11, 12], two)[2] == {2}
+    assert html_extract.out_of_order([0, 3, 1, 2, 4]) == [3] and html_extract.out_of_order([]) == []
+
+
+def test_pages_of_nothing_but_template_and_odd_markup(pages):
+    shell = "<body><div><p>Welcome to our site</p><p>All the news</p></div>{}<div><p>Imprint and so on</p></div></body>"
+    rows = [(k, f"http://h.org/{k}", shell.format(f"<div><p>story {k}</p></div>")) for k in range(8)] + [(9, "http://h.org/9", shell.format(""))]
+    got = {r.page_id: r.text for r in html_extract.extracted(pages(rows)).collect()}
+    assert got == {k: f"story {k}" for k in range(8)} | {9: ""}
+    assert html_extract.main_text("İ" * 30 + "<script>x</script><p>hello world and more text</p>") == "İ" * 30 + "\nhello world and more text"
+    assert html_extract.main_text("<SCRIPT>a</Script ><p>b</p><style>never closed") == "b"
+    assert html_extract.main_text("<b>" * 30_000 + "deep" + "</i>" * 30_000) == "deep"
+    assert html_extract.main_text("<div>" * 30_000 + "deep" + "</div>" * 60_000 + "<p>" + "long " * 200_000).count("long") == 200_000
+
+
 def test_copies_of_one_page_are_no_template(pages):
     page = "<body><p>a</p><p>b</p><p>c</p></body>"
     assert {r.text for r in html_extract.extracted(pages([(k, "http://c.org/", page) for k in range(9)])).collect()} == {"a\nb\nc"}
