@@ -41,6 +41,7 @@ def test_round_trip(spark, pages, tmp_path):
         first = best == -1 or i == best
         plain.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first else "revisit", None if first else best))
     assert sorted(map(repr, ((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got))) == sorted(map(repr, plain))
+    assert sorted(map(repr, ((r.page_id, r.url) for r in got))) == sorted(map(repr, ((i, u) for i, u, _ in ROWS)))
     text = {(i, h or "") for i, _, h in ROWS}
     assert all((r.page_id, r.payload.decode()) in text for r in got if r.record_type == "response")
 
@@ -53,6 +54,42 @@ def test_equal_input_gives_equal_bytes(spark, pages, tmp_path):
     assert b"WARC/1.1\r\nWARC-Type: re" in gzip.decompress(b"".join(one.values()))
 
 
+def test_equal_rows_give_equal_files_whatever_the_partitioning(spark, pages, tmp_path):
+    rows = spark.range(40_000).selectExpr("if(id % 3 = 0, 7, id * id * 1000003) AS page_id", "concat('http://h.org/', id) AS url", "repeat(md5(cast(id as string)), 1 + cast(id % 9 as int)) AS html")
+    made = {}
+    for name, df in (("x", rows), ("y", rows.repartition(13, "url")), ("z", rows.orderBy("html"))):
+        warc.write_warc(df, f"file://{tmp_path / name}", range_bytes=1 << 20)
+        made[name] = {f: (tmp_path / name / f).read_bytes() for f in os.listdir(tmp_path / name) if f.endswith(".gz")}
+    assert made["x"] == made["y"] == made["z"] and len(made["x"]) > 20
+    assert max(map(len, made["x"].values())) < 4 * min(sorted(map(len, made["x"].values()))[2:])  # the hot id is dealt over ranges as well
+    got = warc.read_warc(spark, f"file://{tmp_path / 'x'}")
+    assert got.where("intact").count() == 40_000 and got.where("page_id = 7").count() == 13_334
+
+
+@pytest.mark.parametrize("ids", [[-(2**63), 2**63 - 1, 0, 5], [3] * 50, [None, None], [2**62 + k for k in range(300)]])
+def test_ranges(spark, ids):
+    rows = spark.createDataFrame([(i, "ab", 1000) for i in ids], "page long, digest string, n long")
+    ends, numbers, parts = warc.ranges_of(rows, 5000)
+    assert list(ends) == sorted(ends) and list(numbers) == [sum(parts[:k]) for k in range(len(parts))]
+    held = {}
+    for i in ids:
+        g = 0 if i is None else sum(e <= i for e in ends[1:].tolist())
+        held[g] = held.get(g, 0) + 1700
+    assert all(n <= 5000 * parts[g] for g, n in held.items())
+
+
+def test_a_folder_with_files_is_refused_or_emptied(spark, pages, tmp_path):
+    uri = f"file://{tmp_path / 'f'}"
+    warc.write_warc(pages([(1, "http://a.org/%7e?q=a b", "old"), (2, "", "old")]), uri)
+    with pytest.raises(FileExistsError):
+        warc.write_warc(pages([(1, "u", "NEW text")]), uri)
+    (tmp_path / "f" / ".tmp-left").write_text("x")
+    warc.write_warc(pages([(1, "http://a.org/%7e?q=a b", "NEW text"), (2, "", "b"), (3, None, "c")]), uri, overwrite=True)
+    got = sorted((r.page_id, r.url, bytes(r.payload)) for r in warc.read_warc(spark, uri, with_payload=True).collect())
+    assert got == [(1, "http://a.org/%7e?q=a b", b"NEW text"), (2, "", b"b"), (3, None, b"c")]
+    assert sorted(f for f in os.listdir(tmp_path / "f") if f[0] != "." and f[:5] != "part-") == ["_COMMITTED", "manifest.jsonl"] and not [f for f in os.listdir(tmp_path / "f") if f.startswith(".tmp")]
+
+
 def test_small_payloads_and_empty_table(spark, pages, tmp_path):
     got, _ = records(spark, pages, tmp_path / "s", ROWS, min_bytes=12)
     assert {r.record_type for r in got} == {"response"}
