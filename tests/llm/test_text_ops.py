@@ -140,7 +140,10 @@ def test_language_odd_rows(frame, odd_rows):
     assert all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id in (1, 2, 3))
     kept = language_id.keep_known(frame(odd_rows), model)
     assert kept.columns == frame([]).columns and {1, 2, 3}.isdisjoint(r.doc_id for r in kept.collect())
+    with pytest.raises(ValueError):
+        language_id.predict(frame([]).withColumnRenamed("id", "score"), model, keep=["score"])
     none = language_id.fit(frame([]))
+    assert {r.doc_id for r in language_id.keep_known(frame(odd_rows), none).collect()}.isdisjoint({1, 2, 3})
     assert {r.lang_pred for r in language_id.predict(frame(odd_rows), none, keep=["doc_id"]).collect()} == {"und"}
 
 
@@ -149,7 +152,7 @@ def test_stage_rejects_unlearned_languages_and_keeps_clean_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 600")
     good = quality.keep_good(docs).select("doc_id", "text", "lang")
     r = random.Random(7)
-    strange = ["tämä on suomenkielinen teksti joka ei kuulu tunnettuihin kieliin lainkaan ja sen pitäisi poistua " * 5, "привет как дела это русский текст " * 12, " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(r.randrange(3, 9))) for _ in range(90))]
+    strange = ["tämä on suomenkielinen teksti joka ei kuulu tunnettuihin kieliin lainkaan ja sen pitäisi poistua " * 5, "привет как дела это русский текст " * 12, " ".join("".join(r.choice(string.ascii_lowercase) for _ in range(r.randrange(3, 9))) for _ in range(90)), "日本語の文章はここで学習されていない言語の例です。" * 12, "²²² ½½ 123 " * 40]
     rows = good.unionByName(spark.createDataFrame([(-1 - k, x, None) for k, x in enumerate(strange)], good.schema))
     got = {x.doc_id for x in pipeline.known_language(spark, rows, "").collect()}
     assert got == {x.doc_id for x in good.collect()}

@@ -5,11 +5,13 @@ context that the language has seen predicts a byte it has seen there with n / (t
 different), and escapes with q / (t + q) to the next shorter context, whose distribution is renormalised over the bytes
 not yet ruled out; below the root all bytes are alike.  The summed code lengths of a whole text decide.  The languages'
 trees are laid over one another in one array, so a batch of texts is scored for all of them by a few array gathers.
+
+Bytes are those of the text with A-Z lower-cased.  Every byte that the sample has is a symbol of its own; those that it
+does not have are one class, within which all are alike.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.context_tree import Alphabet, ContextTree, GramCounts, contexts, gram_codes
-from tracelake.llm.shared import table
+from tracelake.llm.shared import Scratch, table
 from tracelake.llm.vectext import buffers, pieces
 
 DEPTH = 3
 #: The classifier is fitted on at most so many whole labelled texts of each language, those first in a fixed hash order.
 SAMPLE_PER_LANG = 800
-ALPHABET = 120
+ALPHABET = 230  # all bytes but A-Z
 #: A text that needs more than so many times the bits a byte of its language's training texts is in no learned language.
 SLACK = 1.75
 
@@ -76,19 +78,20 @@ class PPM:
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", *, per_lang: int = SAMPLE_PER_LANG, depth: int = DEPTH) -> PPM:
-    """Fit on at most ``per_lang`` whole texts of each language: those with the smallest hash of the key.
+    """Fit on at most ``per_lang`` whole texts of each language: those with the smallest hash of key and text.
 
-    The hashes are ranked on two narrow columns, only the lowest of each language; the table of languages (their number
-    is that of distinct labels) is broadcast.  Texts are counted in batches on the executors, and only counts of byte
-    runs come to the driver: their number is bounded by the sample.
+    The table of languages (their number is that of distinct labels) is broadcast.  Candidates, about 4 * ``per_lang`` rows
+    of a language, are picked by their hash alone in one scan of the texts and written; ranks and counts come from those.
+    Only counts of byte runs come to the driver: their number is bounded by the sample.  Rows with a null language or text
+    are not learned from.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(key_col).cast("string")).alias("h"))
-    # only about 4 * per_lang rows of a language are ranked: those in the lowest share of the hash's range
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).cast("string").alias("key"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    low = rows.select("lang", "h").join(F.broadcast(counts), "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n") <= 4 * per_lang)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cuts = low.withColumn("r", rank).where(F.col("r") <= per_lang).groupBy("lang").agg(F.max("h").alias("cut"))
-    picked = rows.join(F.broadcast(cuts), "lang").where("h <= cut").select("lang", "text")
+    low = rows.withColumn("h", F.xxhash64("key", "text")).join(F.broadcast(counts), "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n") <= 4 * per_lang)
+    keep = Scratch(labelled.sparkSession, "languages")
+    low = keep.write(low.select("lang", "text", "h"), "low")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text", F.lit(1))))
+    picked = keep.write(low.withColumn("r", rank).where(F.col("r") <= per_lang).select("lang", "text"), "picked")
 
     def bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
@@ -110,6 +113,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key
     for lang in langs:
         mine = np.asarray(names.indices) == names.dictionary.to_pylist().index(lang)
         grams[lang] = (gram[mine], n[mine])
+    keep.keep_only()
     return PPM(langs, alphabet, grams, depth)
 
 
@@ -136,8 +140,10 @@ def predict(docs: DataFrame, model: PPM, *, text_col: str = "text", keep: list[s
     """``keep`` columns of every row of ``docs`` with the predicted language and its posterior (all languages alike likely before).
 
     A text that is null or has no letter is ``und`` with score 0, as is every text where no language was learned.
-    Equal code lengths go to the language that sorts first.
+    Equal code lengths go to the language that sorts first.  ``keep`` must not name ``pred_col`` or ``score_col``.
     """
+    if clash := {pred_col, score_col} & set(keep):
+        raise ValueError(f"kept columns clash with results: {', '.join(sorted(clash))}")
     held = docs.sparkSession.sparkContext.broadcast(model)
     kept = [F.col(c) for c in keep]
     rows = docs.select(*kept, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"), F.col(text_col).alias("_text"))
@@ -165,17 +171,18 @@ def keep_known(docs: DataFrame, model: PPM, text_col: str = "text", least: float
     """The rows of ``docs`` whose text has a letter and, under the model, one language of posterior ``least`` or more that codes it well.
 
     The posterior only ranks the learned languages; that a text is in none of them shows in its bits a byte, which may be
-    ``slack`` times those of the language's training texts at most.
+    ``slack`` times those of the language's training texts at most.  Null, empty and letterless texts go (a letter is what
+    Unicode calls one, as in ``predict``).  Where no language was learned nothing can be judged, so texts with a letter stay.
+    Equal texts share their fate; other columns are kept as they are.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    letter = re.compile(r"[^\W\d_]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = held.value
         for batch in batches:
             column = batch.column(at)
-            keep = np.array([bool(x and letter.search(x)) for x in map(pa.StringScalar.as_py, column)], dtype=bool)
+            keep = np.array([any(map(str.isalpha, x or "")) for x in map(pa.StringScalar.as_py, column)], dtype=bool)
             if ppm.langs and batch.num_rows:
                 raw, offsets = buffers(column)
                 bits = ppm.code_lengths(raw, offsets)
