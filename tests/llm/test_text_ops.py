@@ -160,30 +160,51 @@ def test_stage_rejects_unlearned_languages_and_keeps_clean_text(spark):
 
 # --- licences
 
-def plain_licence(text):
-    t = (text or "").translate(LOWER)
+def plain_licence(text, templates=None):
+    templates = license_scan.TEMPLATES if templates is None else templates
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    w = pattern.findall(t)
+    w = pattern.findall((text or "").translate(LOWER))
     places = [(i, label) for p, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
     base = {label for _, label in places}
-    labels, score = set(base), 0.0
-    for line in t.split("\n"):
-        own = set(pattern.findall(line))
-        for template, label in license_scan.TEMPLATES:
-            want = set(template.split())
-            if 100 * len(want & own) >= 80 * len(want):
-                labels.add(label)
-                score = max(score, len(want & own) / len(want))
+    sets, found = [set(t.split()) for t, _ in templates], []
+    for k, (own, (template, label)) in enumerate(zip(sets, templates, strict=True)):
+        need, size = math.ceil(0.8 * len(own) - 1e-9), math.ceil(1.25 * len(template.split()))
+        must = {x for other, (_, name) in zip(sets, templates, strict=True) if name != label and len(own & other) >= need for x in own - other}
+        for s in range(max(0, len(w) - size) + 1):
+            block = set(w[s : s + size])
+            if len(own & block) >= need and must <= block:
+                found.append((k, s, min(s + size, len(w)), len(own & block) / len(own), label))
+    kept = [f for f in found if not any(sets[f[0]] < sets[x[0]] and x[1] <= f[1] and x[2] >= f[2] for x in found)]
     at = [i for i, _ in places]
-    return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)
+    return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {f[4] for f in kept})), max((f[3] for f in kept), default=0.0))
+
+
+NOTICES = [(30, "Released under the MIT-License.\nMIT license; mit LICENSE"), (31, "GNU General\nPublic License, version 3"), (32, "Licensed under CC BY-NC 4.0. all rights reserved"), (33, "apache license apache license"), (34, "This work is licensed under GNU general public license version 3"), (35, "mit\x00license 4"), (36, "alle rechte, all rights\nreserved"), (37, "Licensed under CC BY 4.0"), (38, "x licensed under cc by-sa 4.0 y"), (39, "Licensed under CC BY-NC-SA 4.0"), (40, "Licensed under CC BY 4.0.\nLicensed under CC BY-NC 4.0."),
+           (41, "Redistribution and use in source and binary forms, with or without\n modification, are permitted provided that"), (42, "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by"), (43, "Permission is hereby granted, free of charge, to any person obtaining\n * a copy of this software and associated"), (44, prose(1, 3000) + " all of the rights that are reserved")]
 
 
 def test_licence(frame, odd_rows):
-    extra = [(30, "Released under the MIT-License.\nMIT license; mit LICENSE"), (31, "GNU General\nPublic License, version 3"), (32, "Licensed under CC BY-NC 4.0. all rights reserved"), (33, "apache license apache license"), (34, "This work is licensed under GNU general public license version 3"), (35, "mit\x00license 4"), (36, "alle rechte, all rights\nreserved")]
-    rows = odd_rows + extra
+    rows = odd_rows + NOTICES
     got = sorted(map(repr, map(tuple, license_scan.scan(frame(rows)).collect())))
     assert got == sorted(repr((r[0], *plain_licence(r[1]))) for r in rows)
     assert license_scan.scan(frame([])).collect() == []
+    labels = {r.doc_id: r.labels for r in license_scan.scan(frame(NOTICES)).collect()}
+    assert {k: labels[k] for k in (32, 37, 38, 39, 40, 41, 42, 43, 44)} == {32: "cc-by-nc,reserved", 37: "cc-by", 38: "cc-by-sa", 39: "cc-by-nc-sa", 40: "cc-by,cc-by-nc", 41: "bsd", 42: "gpl", 43: "mit", 44: ""}
+
+
+def test_hundreds_of_templates(frame):
+    r = random.Random(3)
+    pool = [f"t{k}" for k in range(400)]
+    templates = tuple((" ".join(r.choice(pool[:40] if k % 3 else pool) for _ in range(r.randrange(2, 25))), f"l{k % 90}") for k in range(300))
+    rows = []
+    for k in range(60):
+        own = templates[r.randrange(300)][0].split()
+        for _ in range(r.randrange(3)):
+            own[r.randrange(len(own))] = "other"
+        rows.append((k, " ".join(r.choice(pool) for _ in range(60)) + " " + "\n".join(own) + " " + " ".join(r.choice(pool[:40]) for _ in range(80))))
+    got = {x.doc_id: (x.labels, x.score) for x in license_scan.scan(frame(rows), templates=templates).collect()}
+    assert got == {k: plain_licence(t, templates)[-2:] for k, t in rows}
+    assert sum(bool(labels) for labels, _ in got.values()) > 30
 
 
 # --- decontamination

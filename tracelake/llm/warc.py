@@ -232,7 +232,7 @@ def write_warc(pages: DataFrame, uri: str, *, id_col: str = "page_id", url_col:
 
     ranged = rows.withColumn("range", range_of(F.coalesce("page", F.lit(0)), F.col("page").isNull(), F.conv(F.substring("digest", 1, 7), 16, 10).cast("long")))
     count = int(numbers[-1] + parts[-1])
-    ranged = ranged.repartition(max(2, count), "range").sortWithinPartitions("range", "page", "mark", "digest", "url")
+    ranged = ranged.repartitionById(count, F.col("range").cast("int")).sortWithinPartitions("range", "page", "mark", "digest", "url")
     manifest = keep.write(ranged.mapInArrow(_writer(uri, roll_bytes), MANIFEST), "manifest")
     done = manifest.mapInArrow(_committer(uri), "file string").count()
     if done != (want := manifest.count()):
