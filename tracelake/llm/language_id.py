@@ -28,7 +28,7 @@ DEPTH = 3
 SAMPLE_PER_LANG = 800
 ALPHABET = 230  # all bytes but A-Z
 #: A text that needs more than so many times the bits a byte of its language's training texts is in no learned language.
-SLACK = 1.75
+SLACK = 2.0
 
 
 class PPM:
