@@ -15,6 +15,7 @@ matching block of a template with all of T's words and more gives no label: of a
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -142,10 +143,11 @@ class TemplateIndex:
         out, best = set(), 0.0
         for t, starts in found.items():
             label, own, _, length, _, wider = self.rules[t]
-            covers = [(s, min(len(text), s + self.rules[x][3])) for x in wider for s in found.get(x, ())]
+            covers = [(sorted(found[x]), self.rules[x][3]) for x in wider if x in found]
             for s, shared in starts.items():
                 end = min(len(text), s + length)
-                if not any(a <= s and end <= b for a, b in covers):
+                # of a wider template's blocks the last one that begins no later reaches farthest
+                if not any((k := bisect_right(at, s)) and min(len(text), at[k - 1] + size) >= end for at, size in covers):
                     out.add(label)
                     best = max(best, shared / len(own))
         return out, best
