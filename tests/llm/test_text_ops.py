@@ -261,17 +261,50 @@ def test_base_score_is_exact(frame, odd_rows):
         assert all(r.score <= 0 for r in got)
 
 
-def test_model_is_a_distribution_and_predicts_held_out_text(spark):
-    path = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 300")
-    model, rare = language_model.fit(docs.where("doc_id % 10 <> 0"))
-    p = 10.0 ** model.tree.costs[:, 1:, 0].astype(np.float64)
-    p[:, 1] *= model.alphabet.others
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
-    rows = language_model.score(docs.where("doc_id % 10 = 0"), model, rare).collect()
-    # far better than uniform bytes
-    chars = docs.where("doc_id % 10 = 0").selectExpr("sum(octet_length(text)) AS n").first().n
-    assert sum(r.score for r in rows) > -0.75 * chars
+def plain_tree(texts, alphabet, depth, min_count, min_gain):
+    """log10 p(symbol | symbols before) of a suffix tree grown as its definition says."""
+    sequences = [[0] * depth + [int(alphabet.table[b]) for b in " ".join(lower_words(t)).encode()] + [1] for t in texts]
+    counts = {}
+    for s in sequences:
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                counts.setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
+    often = {c: n for c, n in counts.items() if not c or sum(n.values()) >= min_count}
+
+    def p(tree, ctx, s):
+        if ctx not in tree:
+            return p(tree, ctx[1:], s) if ctx else 1 / (alphabet.size - 1)
+        n, below = tree[ctx], p(tree, ctx[1:], s) if ctx else 1 / (alphabet.size - 1)
+        return (n[s] + len(n) * below) / (sum(n.values()) + len(n))
+
+    gain = lambda c: sum(k * math.log(k / sum(often[c].values()) / p(often, c[1:], s)) for s, k in often[c].items())
+    kept = {c[k:] for c in often if c and gain(c) >= min_gain for k in range(len(c) + 1)} | {()}
+    tree = {c: often[c] for c in kept}
+
+    def score(text):
+        s = [0] * depth + [int(alphabet.table[b]) for b in " ".join(lower_words(text)).encode()] + [1]
+        return sum(math.log10(p(tree, tuple(s[i - depth : i]), s[i])) - (math.log10(alphabet.others) if s[i] == alphabet.OTHER else 0) for i in range(depth, len(s)))
+
+    return score, len(tree)
+
+
+def test_suffix_tree_against_plain_python(frame, odd_rows):
+    train = [(k, prose(k % 7, 40 + k)) for k in range(30)] + [(99, "zebra quilt"), (100, None)]
+    model, rare = language_model.fit(frame(train), depth=4, min_count=6, min_gain=5.0)
+    score, size = plain_tree([t for _, t in train], model.alphabet, 4, 6, 5.0)
+    assert model.tree.count() == size > 50
+    rows = [r for r in odd_rows if len(r[1] or "") < 10_000] + [(50, prose(3, 60)), (51, "ZEBRA  quilt\tßß"), (52, prose(77, 50))]
+    for tree_bytes in (1 << 30, model.tree_bytes // 5):
+        got = language_model.score(frame(rows), model, rare, keep=["doc_id", "text"], tree_bytes=tree_bytes).collect()
+        assert len(got) == len(rows)
+        assert all(math.isclose(r.score, score(r.text), rel_tol=1e-5, abs_tol=1e-4) for r in got)
+    with pytest.raises(ValueError):
+        language_model.score(frame(rows).withColumnRenamed("id", "score"), model, rare, keep=["score"])
+
+
+def test_tree_predicts_held_out_text_better_than_words_alone(spark):
+    got = language_model.op9_suffix_tree_lm(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) AS tree", "sum(base_score) AS base").first()
+    assert got.tree > got.base
 
 
 def test_empty_model(frame, odd_rows):

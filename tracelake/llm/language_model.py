@@ -1,17 +1,22 @@
 """Language-model scoring with a probabilistic suffix tree over bytes.
 
-A text is its tokens joined by single spaces, then an end mark.  The tree keeps variable-length contexts of up to
-``DEPTH`` symbols: those that occur with at least the share ``MIN_SHARE`` of the training positions (so there are at
-most 1 / MIN_SHARE of a length, whatever the corpus) and whose next-symbol counts diverge from what their suffix
-predicts by at least ``MIN_GAIN`` nats in all.  A kept context's distribution is its counts smoothed by its suffix's
-distribution; each symbol is predicted by the longest suffix state of what precedes it.  Counts cover the whole
-training part of the corpus.
+A text is its tokens (A-Z lower-cased) joined by single spaces, then an end mark.  The tree keeps variable-length contexts
+of up to ``DEPTH`` symbols: those that occur at least ``MIN_COUNT`` times in the training texts and whose next-symbol counts
+diverge from what their suffix predicts by at least ``MIN_GAIN`` nats in all; a context is kept with all its suffixes.  In a
+context seen t times before q different symbols, a symbol seen n times has probability (n + q * p) / (t + q), where p is what
+the suffix gives it; below the root all symbols are alike.  Each symbol is predicted by the longest kept suffix of what
+precedes it.  Counts cover all training texts and both bars are absolute, so the tree grows with the corpus.
+
+The tree is made by joins, depth by depth, and stays a table.  To score, its rows go to every task if they take
+``TREE_BYTES`` at most; a larger tree is cut into blocks by the two nearest symbols of a context, and the texts are gone
+over once a block, so no task ever holds more than a block.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.context_tree import Alphabet, ContextTree, GramCounts, contexts, gram_codes
-from tracelake.llm.shared import table, written
-from tracelake.llm.vectext import SPACE_SPLIT, buffers, pieces, signed, span_hashes, word_spans
+from tracelake.llm.context_tree import CHUNK, Alphabet, GramCounts, contexts, gram_codes
+from tracelake.llm.shared import Scratch, if_small, table, written
+from tracelake.llm.vectext import SPACE_SPLIT, buffers, mix64, pieces, signed, span_hashes, word_spans
 
-DEPTH = 5
-MIN_SHARE = 1e-5
+DEPTH = 6
+MIN_COUNT = 8
 MIN_GAIN = 10.0
-PRIOR = 4.0
-ALPHABET = 100
+ALPHABET = 230  # all bytes but A-Z
+#: A tree of more bytes (40 for a context and for each symbol seen in it) is scored with in blocks of that size.
+TREE_BYTES = 96 << 20
 #: Counts of so many of the most frequent words travel to every task (12 bytes each); rarer words are joined.
 HEAD_WORDS = 400_000
 
@@ -94,19 +100,146 @@ def _byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], names=["byte", "n"])
 
 
+class Pairs:
+    """A frozen map of non-negative integers to numbers, by open addressing: arrays are looked up at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.mask = (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.values = np.zeros(1 << bits, values.dtype)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            slot, first = np.unique(at[free], return_index=True)
+            own = left[free][first]
+            self.keys[slot], self.values[slot] = keys[own], values[own]
+            rest = self.keys[at] != keys[left]
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(found, values) for all keys."""
+        found, out = np.zeros(len(keys), bool), np.zeros(len(keys), self.values.dtype)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            held = self.keys[at]
+            hit = held == keys[left]
+            found[left[hit]] = True
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (held >= 0)
+            left, at = left[on], (at[on] + 1) & self.mask
+        return found, out
+
+
+class SuffixTree:
+    """A tree, or the block of it for contexts whose two nearest symbols fall in ``block`` of ``blocks``."""
+
+    def __init__(self, alphabet: Alphabet, depth: int, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], block: int = 0, blocks: int = 1):
+        """A level: context codes, log10 of what each leaves to its suffix, and per symbol seen (context's row, symbol, log10 p)."""
+        size = self.size = alphabet.size
+        self.depth, self.block, self.blocks = depth, block, blocks
+        self.uniform, self.each_other = -math.log10(size - 1), -math.log10(alphabet.others)
+        ids, parents, backs, links, seen, costs = [], [], [], [], [], []
+        base, above = 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))  # sorted codes of the level above, their ids
+        for d, (code, back, row, sym, cost) in enumerate(levels):
+            own = base + np.arange(len(code))
+            base += len(code)
+            if d:
+                parent = above[1][np.searchsorted(above[0], code % size ** (d - 1))] if len(code) else np.zeros(0, np.int64)
+                links.append((parent * size + code // size ** (d - 1), own))
+            else:
+                parent = np.full(len(code), -1)
+            ids.append(own)
+            parents.append(parent)
+            backs.append(back)
+            seen.append(own[row] * size + sym)
+            costs.append(cost)
+            order = np.argsort(code)
+            above = (code[order], own[order])
+        join = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
+        self.parent, self.back = join(parents, np.int32), join(backs, np.float32)
+        self.child = Pairs(join([k for k, _ in links], np.int64), join([v for _, v in links], np.int32))
+        self.seen = Pairs(join(seen, np.int64), join(costs, np.float32))
+
+    def costs(self, sym: np.ndarray, ctx: list[np.ndarray]) -> np.ndarray:
+        """log10 of each symbol's probability after its context; 0 for positions of other blocks."""
+        out = np.zeros(len(sym), np.float64)
+        live = np.arange(len(sym))
+        if self.blocks > 1:
+            live = np.flatnonzero(block_of(ctx[0].astype(np.int64), ctx[1].astype(np.int64), self.size, self.blocks) == self.block)
+        out[live[sym[live] == Alphabet.OTHER]] = self.each_other
+        if not len(self.parent):
+            out[live] += self.uniform
+            return out
+        node = np.zeros(len(sym), np.int64)
+        down = live
+        for c in ctx:
+            hit, nxt = self.child.get(node[down] * self.size + c[down])
+            down = down[hit]
+            node[down] = nxt[hit]
+        while len(live):
+            hit, cost = self.seen.get(node[live] * self.size + sym[live])
+            out[live[hit]] += cost[hit]
+            live = live[~hit]
+            out[live] += self.back[node[live]]
+            node[live] = self.parent[node[live]]
+            done = node[live] < 0
+            out[live[done]] += self.uniform
+            live = live[~done]
+        return out
+
+    def sums(self, sym: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        out, ctx = np.zeros(len(offsets) - 1), contexts(sym, offsets, self.depth)
+        for a in range(0, len(sym), CHUNK):
+            b = min(len(sym), a + CHUNK)
+            cost = self.costs(sym[a:b].astype(np.int64), [c[a:b] for c in ctx])
+            rows = np.arange(np.searchsorted(offsets, a, side="right") - 1, np.searchsorted(offsets, b - 1, side="right"))
+            begin, end = np.maximum(offsets[rows], a), np.minimum(offsets[rows + 1], b)
+            some = end > begin
+            out[rows[some]] += np.add.reduceat(cost, begin[some] - a)
+        return out
+
+
+def block_of(near, next_, size: int, blocks: int):
+    """The block of contexts with these two nearest symbols; of columns as of arrays."""
+    return (near * size + next_) % blocks
+
+
 class Model:
-    """A frozen tree with costs in log10, and the counts of frequent words."""
+    """What was learned: the tree as a table, and the counts of frequent words."""
 
-    def __init__(self, alphabet: Alphabet, tree: ContextTree, head: np.ndarray, head_n: np.ndarray, total: int, distinct: int, ends: int):
-        self.alphabet, self.tree, self.head, self.head_n = alphabet, tree, head, head_n
+    def __init__(self, alphabet: Alphabet, depth: int, tree: DataFrame, tree_bytes: int, head: np.ndarray, head_n: np.ndarray, total: int, distinct: int, ends: int):
+        self.alphabet, self.depth, self.tree, self.tree_bytes, self.head, self.head_n = alphabet, depth, tree, tree_bytes, head, head_n
         self.total, self.distinct, self.ends = total, distinct, ends
 
     def base(self, n: np.ndarray) -> np.ndarray:
         return np.log10(n + 0.1) - math.log10(self.total + 0.1 * (self.distinct + 1))
 
-
-def fit(train: DataFrame, text_col: str = "text", *, depth: int = DEPTH, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN, prior: float = PRIOR, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame]:
-    """(model, word counts (key, n)) learned from all rows of ``train``."""
+    def block(self, block: int = 0, blocks: int = 1) -> SuffixTree:
+        """One block of the tree, collected: contexts of less than two symbols are in all of them."""
+        a = self.alphabet.size
+        rows = self.tree
+        if blocks > 1:
+            rows = rows.where((F.col("depth") < 2) | (block_of(F.pmod("ctx", F.lit(a)), F.pmod(F.expr(f"ctx div {a}"), F.lit(a)), a, blocks) == block))
+        got = rows.toArrow()
+        depth, ctx, back = (np.asarray(got.column(c)) for c in ("depth", "ctx", "back"))
+        lists = [got.column(c).combine_chunks() for c in ("sym", "cost")]
+        cuts = np.asarray(lists[0].offsets)
+        sym, cost = (np.asarray(x.values) for x in lists)
+        owner = np.repeat(np.arange(len(ctx)), np.diff(cuts))
+        levels = []
+        for d in range(self.depth + 1):
+            own = np.flatnonzero(depth == d)
+            mine = np.flatnonzero(depth[owner] == d)
+            levels.append((ctx[own], back[own], np.searchsorted(own, owner[mine]), sym[mine].astype(np.int64), cost[mine]))
+        return SuffixTree(self.alphabet, self.depth, levels, block, blocks)
+
+
+def fit(train: DataFrame, text_col: str = "text", *, depth: int = DEPTH, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame]:
+    """(model, counts (key, n) of the words beside the ``head_words`` most frequent ones) learned from all rows of ``train``."""
     rows = train.select(F.col(text_col).cast("string").alias("text"))
     seen = np.zeros(256, np.int64)
     for r in rows.mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
@@ -132,65 +265,78 @@ def fit(train: DataFrame, text_col: str = "text", *, depth: int = DEPTH, min_sha
     head = words.where(F.col("n") >= cut).toArrow()
     keys, n = (np.asarray(head.column(c)) for c in ("key", "n"))
     order = np.argsort(keys)
-    tree = _tree(counts.where("kind = 1").select("key", "n"), alphabet, depth, min_share, min_gain, prior)
-    return Model(alphabet, tree, keys[order], n[order], total, distinct, ends), words.where(F.col("n") < cut)
+    tree = tree_table(counts.where("kind = 1").select("key", "n"), alphabet.size, depth, min_count, min_gain)
+    size = tree.agg(F.sum(40 + 40 * F.size("sym"))).first()[0] or 0
+    return Model(alphabet, depth, tree, size, keys[order], n[order], total, distinct, ends), words.where(F.col("n") < cut)
 
 
-def _tree(grams: DataFrame, alphabet: Alphabet, depth: int, min_share: float, min_gain: float, prior: float) -> ContextTree:
-    a = alphabet.size
-    positions = grams.agg(F.sum("n")).first()[0] or 0
-    found = []
+def tree_table(grams: DataFrame, a: int, depth: int, min_count: int, min_gain: float) -> DataFrame:
+    """(depth, ctx, back, sym, cost) of the contexts kept, from the counts (key, n) of runs of depth + 1 symbols."""
+    keep = Scratch(grams.sparkSession, "suffix-tree")
+    levels: list[DataFrame] = []
     for d in range(depth + 1):
-        own = grams.groupBy(F.pmod("key", F.lit(a ** (d + 1))).alias("key")).agg(F.sum("n").alias("n")).select(F.expr(f"key div {a}").alias("ctx"), "key", "n")
-        often = own.groupBy("ctx").agg(F.sum("n").alias("t")).where(F.col("t") >= max(2.0, min_share * positions)).select("ctx")
-        got = own.join(F.broadcast(often), "ctx", "left_semi").select("key", "n").toArrow()
-        found.append((np.asarray(got.column("key")), np.asarray(got.column("n"))))
-
-    def counted(tree: ContextTree) -> np.ndarray:
-        n = np.zeros((len(tree.parent), a))
-        for d, (key, c) in enumerate(found):
-            node = tree.place(d, key // a)
-            n[node[node >= 0], (key % a)[node >= 0]] += c[node >= 0]
-        return n
-
-    def smoothed(tree: ContextTree, n: np.ndarray) -> np.ndarray:
-        p = np.zeros_like(n)
-        for layer in tree.layers():
-            below = np.full((1, a), 1 / (a - 1)) if layer.start == 0 else p[tree.parent[layer]]
-            p[layer] = (n[layer] + prior * below) / (n[layer].sum(axis=1, keepdims=True) + prior)
-            p[layer][:, 0] = 0
-        return p
-
-    full = ContextTree(a, [np.unique(k // a) for k, _ in found])
-    n = counted(full)
-    p = smoothed(full, n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = n / np.maximum(n.sum(axis=1, keepdims=True), 1)
-        gain = np.where(n > 0, n * np.log(share / p[np.maximum(full.parent, 0)]), 0).sum(axis=1)
-    wanted = gain >= min_gain
-    for layer in reversed(full.layers()[1:]):  # a context is kept with all its suffixes
-        wanted[full.parent[layer][wanted[layer]]] = True
-    codes = [c[wanted[layer]] if d else c for d, (c, layer) in enumerate(zip(full.codes, full.layers(), strict=True))]
-    tree = ContextTree(a, codes)
-    p = smoothed(tree, counted(tree))
-    cost = np.log10(np.maximum(p, 1e-30))
-    cost[:, Alphabet.OTHER] -= np.log10(alphabet.others)
-    tree.costs = cost.astype(np.float32)[:, :, None]
+        own = grams.groupBy(F.pmod("key", F.lit(a ** (d + 1))).alias("key")).agg(F.sum("n").alias("n"))
+        seen = own.groupBy(F.expr(f"key div {a}").alias("ctx")).agg(F.sum("n").alias("t"), F.collect_list(F.struct(F.pmod("key", F.lit(a)).cast("int").alias("s"), "n")).alias("e")).where(F.col("t") >= (min_count if d else 1))
+        if d:
+            above = levels[-1].select(F.col("ctx").alias("_suffix"), F.map_from_arrays("sym", "p").alias("_p"))
+            seen = seen.join(if_small(above, 400), F.pmod("ctx", F.lit(a ** (d - 1))) == F.col("_suffix"))
+            below = lambda x: F.element_at("_p", x["s"])
+        else:
+            below = lambda x: F.lit(1.0 / (a - 1))
+        q = F.size("e")
+        e = F.transform("e", lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), below(x).alias("b")))
+        seen = seen.withColumn("e", e)
+        gain = F.aggregate("e", F.lit(0.0), lambda z, x: z + x["n"] * F.log(x["n"] / F.col("t") / x["b"]))
+        p = F.transform("e", lambda x: (x["n"] + q * x["b"]) / (F.col("t") + q))
+        levels.append(keep.write(seen.select("ctx", F.log10(q / (F.col("t") + q)).alias("back"), F.transform("e", lambda x: x["s"]).alias("sym"), p.alias("p"), gain.alias("gain")), f"level{d}"))
+    out, longer = None, None
+    for d in range(depth, -1, -1):
+        kept = levels[d]
+        if d:
+            if longer is not None:
+                kept = kept.join(if_small(longer, 32), "ctx", "left").where((F.col("gain") >= min_gain) | F.col("wanted")).drop("wanted")
+            else:
+                kept = kept.where(F.col("gain") >= min_gain)
+            kept = keep.write(kept, f"kept{d}")
+            longer = keep.write(kept.select(F.pmod("ctx", F.lit(a ** (d - 1))).alias("ctx"), F.lit(True).alias("wanted")).distinct(), f"longer{d}")
+        rows = kept.select(F.lit(d).alias("depth"), "ctx", "back", "sym", F.transform("p", lambda x: F.log10(x)).alias("cost"))
+        out = rows if out is None else out.unionByName(rows)
+    tree = keep.write(out, "tree")
+    keep.keep_only("tree")
     return tree
 
 
-def score(docs: DataFrame, model: Model, rare: DataFrame, *, text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+def _tree_only(alphabet: Alphabet, held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = buffers(batch.column(1))
+            total = []
+            for a, b in pieces(offsets):
+                part = offsets[a : b + 1]
+                total.append(held.value.sums(*token_stream(alphabet, raw, part, *word_spans(raw, part))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(total) if total else np.zeros(0))], names=["_row", "score"])
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, rare: DataFrame, *, text_col: str = "text", keep: list[str] = (), tree_bytes: int = TREE_BYTES) -> DataFrame:
     """``keep`` columns of every row with n_tokens, n_known, train_tokens, base_score and score.
 
     Frequent words are looked up in the broadcast head (at most ``HEAD_WORDS``); every other distinct word of a text is
     joined with the table of rare words and its share of the base score added up by row.  Null, empty and white-space
-    texts are one end mark.
+    texts are one end mark.  ``keep`` must not name a result column.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    if clash := {"n_tokens", "n_known", "train_tokens", "base_score", "score"} & set(keep):
+        raise ValueError(f"kept columns clash with results: {', '.join(sorted(clash))}")
+    context = docs.sparkSession.sparkContext
+    blocks = max(1, -(-model.tree_bytes // tree_bytes))
+    alphabet, known_words = model.alphabet, (model.head, model.head_n)
+    frozen = (model.total, model.distinct, model.ends)
+    held = context.broadcast((Model(alphabet, model.depth, None, 0, *known_words, *frozen), model.block(0, blocks)))
     rows = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m, tree = held.value
         line = TaskContext.get().partitionId() << 40
         unknown = float(m.base(np.zeros(1))[0])
         end = float(m.base(np.array([m.ends]))[0])
@@ -210,21 +356,33 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, *, text_col: str = "te
                 n_tokens.append(np.diff(first) + 1)
                 known.append(np.diff(hits[first]) + (m.ends > 0))
                 base.append(np.diff(sums[first]) + end)
-                total.append(m.tree.sums(*token_stream(m.alphabet, raw, part, starts, ends, first))[:, 0])
+                total.append(tree.sums(*token_stream(m.alphabet, raw, part, starts, ends, first)))
                 rest = np.flatnonzero(~hit)
                 tails.append((h[rest], np.searchsorted(rest, first)))
             n = batch.num_rows
             values = np.concatenate([t for t, _ in tails]) if tails else np.zeros(0, np.int64)
             cuts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(c) for _, c in tails]))]) if tails else np.zeros(1, np.int64)
             cols = [np.concatenate(c) if c else np.zeros(0) for c in (n_tokens, known, base, total)]
+            own = [] if blocks > 1 else [pa.array(line + np.arange(n))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(line + np.arange(n)), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2]), pa.array(cols[3]), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))],
-                names=[*batch.schema.names[:-1], "_row", "n_tokens", "_known", "_base", "score", "_tail"],
+                [*batch.columns[:-1], *own, pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2]), pa.array(cols[3]), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))],
+                names=[*batch.schema.names[:-1], *["_row"] * len(own), "n_tokens", "_known", "_base", "score", "_tail"],
             )
             line += n
 
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + ["_row long, n_tokens long, _known long, _base double, score double, _tail array<long>"])
+    if blocks > 1:  # row numbers must stay what they are from block to block
+        rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "lm-texts").select(*keep, "_row", "_text")
+        ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]] + ["_row long, n_tokens long, _known long, _base double, score double, _tail array<long>"])
     scored = written(rows.mapInArrow(run, ddl), "lm-scored")
+    if blocks > 1:
+        parts = [scored.select("_row", "score")]
+        for block in range(1, blocks):
+            held_block = context.broadcast(model.block(block, blocks))
+            parts.append(written(rows.select("_row", "_text").mapInArrow(_tree_only(alphabet, held_block), "_row long, score double"), "lm-block"))
+            held_block.unpersist()
+        sums = reduce(DataFrame.unionByName, parts).groupBy("_row").agg(F.sum("score").alias("score"))
+        scored = scored.drop("score").join(sums, "_row")
     tail = scored.select("_row", F.explode("_tail").alias("key"))
     unknown = float(model.base(np.zeros(1))[0])
     norm = math.log10(model.total + 0.1 * (model.distinct + 1))
