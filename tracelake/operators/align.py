@@ -11,32 +11,40 @@ def master_join(left: DataFrame, right: DataFrame, master: str, how: str = "inne
     return left.drop("record_index").join(right.drop("record_index"), master, how)
 
 
-def as_of(left: DataFrame, right: DataFrame, master: str, values: list[str], by: list[str] = (), ranges: int = 0) -> DataFrame:
+def cut_points(masters: DataFrame, master: str, ranges: int) -> list[float]:
+    """Up to ``ranges`` - 1 ascending values that cut a column into stretches of about equal numbers of rows."""
+    at = [k / ranges for k in range(1, ranges)]
+    got = masters.agg(F.percentile_approx(F.col(master).cast("double"), at, 10 * ranges)).first()[0] if at else []
+    return sorted(set(got or []))
+
+
+def as_of(left: DataFrame, right: DataFrame, master: str, values: list[str], by: list[str] = (), ranges: int | None = None) -> DataFrame:
     """For each row of ``left`` the ``values`` of the last row of ``right`` whose master is not after it.
 
-    One pass over the union in master order, no join.  With ``ranges`` > 0 the master's span is cut into that many
-    stretches, each a task of its own; what a stretch needs from before it is the last right row of the stretches before,
-    found on one row a stretch.  Nulls in the master never match.
+    One pass over the union in master order, no join.  The masters are cut into ``ranges`` stretches of about equal numbers
+    of rows (default: as many as there are shuffle partitions), each a task of its own; what a stretch needs from before it
+    is the last right row of the stretches before, found on one row a stretch.  Nulls in the master never match; of right
+    rows with equal masters any one counts.
     """
-    tag = F.lit(0).alias("_side")
-    l_cols = [c for c in left.columns]
-    r = right.where(F.col(master).isNotNull()).select(F.col(master), *[F.col(b) for b in by], F.struct(*values).alias("_v"), tag)
+    if ranges is None:
+        ranges = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l_cols = left.columns
+    r = right.where(F.col(master).isNotNull()).select(F.col(master), *[F.col(b) for b in by], F.struct(*values).alias("_v"), F.lit(0).alias("_side"))
     lrows = left.select(F.col(master), *[F.col(b) for b in by], F.struct(*l_cols).alias("_l"), F.lit(1).alias("_side"))
     both = r.unionByName(lrows, allowMissingColumns=True)
     keys: list[Column] = [F.col(b) for b in by]
-    if not ranges:
-        w = Window.partitionBy(*keys).orderBy(F.col(master).asc_nulls_first(), "_side")
-        out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w))
-    else:
-        lo, hi = both.agg(F.min(F.col(master).cast("double")), F.max(F.col(master).cast("double"))).first()
-        span = (hi - lo) / ranges if lo is not None and hi > lo else 1.0
-        both = both.withColumn("_stretch", F.coalesce(F.least(F.floor((F.col(master).cast("double") - F.lit(lo or 0.0)) / span), F.lit(ranges - 1)), F.lit(-1)))
-        last = both.where("_side = 0").groupBy(*keys, "_stretch").agg(F.max_by("_v", F.col(master)).alias("_end"))
-        steps = last.select(*keys, "_stretch", "_end").unionByName(both.select(*keys, "_stretch").distinct().withColumn("_end", F.lit(None)), allowMissingColumns=True).groupBy(*keys, "_stretch").agg(F.first("_end", ignorenulls=True).alias("_end"))
-        carried = steps.withColumn("_carry", F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
-        w = Window.partitionBy(*keys, "_stretch").orderBy(F.col(master).asc_nulls_first(), "_side")
-        out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).join(carried, [*by, "_stretch"], "left").withColumn("_v", F.coalesce("_v", "_carry"))
-    out = out.where("_side = 1")
+    cuts = cut_points(left.select(master).unionByName(right.select(master)), master, max(1, ranges))
+    x = F.col(master).cast("double")
+    stretch = F.when(x.isNull(), -1).otherwise(F.array_size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < x)) if cuts else F.lit(0))
+    both = both.withColumn("_stretch", stretch)
+    ends = both.groupBy(*keys, "_stretch").agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col(master))).alias("_end"))
+    carried = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    w = Window.partitionBy(*keys, "_stretch").orderBy(F.col(master).asc_nulls_first(), "_side")
+    same = F.lit(True)
+    renamed = carried.select(*[F.col(c).alias(f"_c_{c}") for c in [*by, "_stretch"]], "_carry")
+    for c in [*by, "_stretch"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_c_{c}"))
+    out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).join(renamed, same, "left").withColumn("_v", F.coalesce("_v", "_carry")).where("_side = 1")
     return out.select(*[F.col(f"_l.{c}").alias(c) for c in l_cols], *[F.when(F.col(master).isNotNull(), F.col(f"_v.{v}")).alias(v) for v in values])
 
 
@@ -47,6 +55,15 @@ def downsample(df: DataFrame, master: str, interval: float | int, values: list[s
     return df.groupBy(*by, bucket).agg(F.count("*").alias("n"), *aggs)
 
 
-def route(df: DataFrame, record_id: str, wanted: int) -> DataFrame:
-    """The records of one group from a table of (record id, payload) rows of mixed groups."""
-    return df.where(F.col(record_id) == wanted)
+def demultiplex(records: DataFrame, payload: str, fields: dict[int, dict[str, Column]], id_bytes: int = 1) -> dict[int, DataFrame]:
+    """Tables of the groups whose records are mixed in ``records``: a binary column of a record id (little-endian) and a body.
+
+    ``fields`` has the columns of each id, as expressions over ``body``; records of other ids are in no table.
+    """
+    number = F.lit(0).cast("long")
+    for k in range(id_bytes):
+        byte = F.conv(F.hex(F.substring(payload, k + 1, 1)), 16, 10).cast("long")
+        number = number + F.shiftleft(byte, 8 * k)
+    body = F.substring(payload, id_bytes + 1, 1 << 30).alias("body")
+    rest = [c for c in records.columns if c != payload]
+    return {i: records.where(number == i).select(*rest, body).select(*rest, *[c.alias(n) for n, c in own.items()]) for i, own in fields.items()}

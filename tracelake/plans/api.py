@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import mimetypes
 import os
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +101,10 @@ class MeasurementSet:
     def reductions(self) -> DataFrame:
         return self._load("mf4_reductions")
 
+    def reduced(self) -> DataFrame:
+        """The records of stored reductions, long."""
+        return self._load("mf4_reduced")
+
     def change_log(self) -> DataFrame:
         return self.history().select("idx", "entry")
 
@@ -128,18 +136,43 @@ class MeasurementSet:
     # sink
 
     def save_attachments(self, folder: str, where: str = "true") -> list[str]:
-        """Write the embedded attachments that fit ``where`` to a local folder, one at a time; returns their paths."""
-        os.makedirs(folder, exist_ok=True)
-        out = []
-        for r in self.attachments().where(where).where("embedded").orderBy("file", "idx").toLocalIterator():
-            name = os.path.basename(r.name) or f"file-{r.idx}"
-            if not os.path.splitext(name)[1] and r.mime_type:
-                name += mimetypes.guess_extension(r.mime_type) or ""
-            path = os.path.join(folder, name)
-            with open(path, "wb") as f:
-                f.write(bytes(r.content))
-            out.append(path)
-        return out
+        """Write the embedded attachments that fit ``where`` to a folder (any file system that Arrow knows); returns their paths.
+
+        The executors write, each file under a temporary name first.  Of attachments with equal names the first one (by file
+        and place) keeps it, the others get _1, _2 ..
+        """
+        uri = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+        fs, root = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(root, recursive=True)
+        rows = self.attachments().where(where).where("embedded")
+        listed = rows.select("file", "idx", "name", "mime_type").orderBy("file", "idx").toLocalIterator()
+        names, used = [], set()
+        for r in listed:
+            stem, end = os.path.splitext(os.path.basename(r.name) or f"file-{r.idx}")
+            end = end or (r.mime_type and mimetypes.guess_extension(r.mime_type) or "")
+            name, k = stem + end, 0
+            while name.lower() in used:
+                k += 1
+                name = f"{stem}_{k}{end}"
+            used.add(name.lower())
+            names.append((r.file, r.idx, name))
+        if not names:
+            return []
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, root = pafs.FileSystem.from_uri(uri)
+            for batch in batches:
+                for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    part = f"{root}/.{uuid.uuid4().hex}"
+                    with fs.open_output_stream(part, compression=None) as f:
+                        f.write(content.as_py() or b"")
+                    fs.move(part, f"{root}/{name}")
+                yield batch.select([0])
+
+        to = self.spark.createDataFrame(names, "file string, idx int, target string")
+        done = {r.target for r in rows.join(F.broadcast(to), ["file", "idx"]).select("target", "content").mapInArrow(write, "target string").collect()}
+        at = folder.rstrip("/")
+        return [f"{at}/{n}" for _, _, n in names if n in done]
 
 
 def open_mf4(spark: SparkSession, path: str, **options) -> MeasurementSet:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -46,10 +48,17 @@ def _columns(spark: SparkSession, sf_dir: str, table: str, *exprs: str) -> dict[
     return {n: np.asarray(got.column(n)) for n in got.column_names}
 
 
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Changes with the folder's name and with its tables' sizes and times."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    listed = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    told = [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed]
+    return hashlib.sha1(repr((sf_dir, sorted(told))).encode()).hexdigest()[:12]
+
+
 def _file(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], bytes]) -> str:
     """The fixture's path; written under its final name only when whole, and made once for each input."""
-    key = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-    root = f"{shared_dir(spark)}/tracelake-fixtures-4/{key}"
+    root = f"{shared_dir(spark)}/tracelake-fixtures-5/{_state(spark, sf_dir)}"
     uri = root if "://" in root else f"file://{root}"
     fs, at = pafs.FileSystem.from_uri(uri)
     path = f"{at}/{name}.mf4"
@@ -83,9 +92,12 @@ for _name, _layout, _size in (("scan_dt_events", "dt", 1 << 20), ("scan_dl_equal
         return open_mf4(spark, _events_file(spark, sf_dir, layout, size)).table().drop("record_index")
 
 
-@query("scan_filtered", "SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE i >= 100 AND i < 400")
+@query("scan_filtered", "SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i >= n // 4 AND i < 3 * n // 4")
 def _filtered(spark, sf_dir):
-    return open_mf4(spark, _events_file(spark, sf_dir, "dl_equal")).table(0, ["event_id", "value"]).where("record_index >= 100 and record_index < 400").drop("record_index")
+    """The middle half of the records, by a range that reaches the source."""
+    f = open_mf4(spark, _events_file(spark, sf_dir, "dl_equal"))
+    n = f.file.groups[0].cycles
+    return f.table(0, ["event_id", "value"]).where(f"record_index >= {n // 4} and record_index < {3 * n // 4}").drop("record_index")
 
 
 _ORDERS = ("o_orderkey", "o_custkey", "o_totalprice")
@@ -165,9 +177,19 @@ def _vlsd_unsorted(spark, sf_dir):
     return f.table(next(g.flat_index for g in f.file.groups if not g.is_vlsd)).drop("record_index")
 
 
-@query("samples_long", "SELECT channel, record_index, value_num, value_text FROM (SELECT row_number() OVER () - 1 AS record_index, * FROM events), LATERAL (VALUES ('event_id', event_id::DOUBLE, NULL::VARCHAR), ('t_us', epoch_us(ts)::DOUBLE, NULL), ('value', value, NULL)) AS v(channel, value_num, value_text)")
+@query("samples_long", "SELECT channel, record_index, value_num, value_int, value_text FROM (SELECT row_number() OVER () - 1 AS record_index, * FROM events), LATERAL (VALUES ('event_id', event_id::DOUBLE, event_id, NULL::VARCHAR), ('t_us', epoch_us(ts)::DOUBLE, epoch_us(ts), NULL), ('value', value, NULL, NULL)) AS v(channel, value_num, value_int, value_text)")
 def _long(spark, sf_dir):
-    return open_mf4(spark, _events_file(spark, sf_dir, "dt")).samples().select("channel", "record_index", "value_num", "value_text")
+    return open_mf4(spark, _events_file(spark, sf_dir, "dt")).samples().select("channel", "record_index", "value_num", "value_int", "value_text")
+
+
+@query("samples_ns", "SELECT channel, record_index, value_num, value_int FROM (SELECT row_number() OVER () - 1 AS record_index, * FROM events), LATERAL (VALUES ('t_ns', (epoch_us(ts) * 1000 + 1)::DOUBLE, epoch_us(ts) * 1000 + 1), ('value', value, NULL)) AS v(channel, value_num, value_int)")
+def _long_ns(spark, sf_dir):
+    """Time stamps in nanoseconds, which a double does not hold in full."""
+    def build() -> bytes:
+        group = X.group_of_arrays(_columns(spark, sf_dir, "events", "unix_micros(cast(ts as timestamp)) * 1000 + 1 AS t_ns", "value"), master="t_ns")
+        return X.Writer().file([X.Data([group], "dl_equal", 1 << 16)])
+
+    return open_mf4(spark, _file(spark, sf_dir, "events_ns", build)).samples().select("channel", "record_index", "value_num", "value_int")
 
 
 # --- decoding
@@ -280,13 +302,94 @@ _WIDE = [(float(k), float((k * 37) % 101)) for k in range(0, 500_000, 1000)]
 _add("conv_vv_interp_wide", "orders", "o_totalprice", Conversion(4, [y for p in _WIDE for y in p]), "CASE WHEN o_totalprice >= 499000 THEN ((499000 * 37) % 101)::DOUBLE ELSE ((floor(o_totalprice / 1000)::BIGINT * 1000 * 37) % 101)::DOUBLE + ((o_totalprice - floor(o_totalprice / 1000) * 1000) * ((((floor(o_totalprice / 1000)::BIGINT + 1) * 1000 * 37) % 101)::DOUBLE - ((floor(o_totalprice / 1000)::BIGINT * 1000 * 37) % 101)::DOUBLE)) / 1000::DOUBLE END AS v", "o_orderkey")
 
 
-@query("conv_in_file", "SELECT l_orderkey, l_quantity * 0.5::DOUBLE + 10::DOUBLE AS l_quantity, CASE l_linenumber WHEN 1 THEN 'one' ELSE 'more' END AS l_linenumber FROM lineitem")
-def _in_file(spark, sf_dir):
+def _rules_file(spark: SparkSession, sf_dir: str) -> str:
     def build() -> bytes:
         rules = {"l_quantity": X.Rule(1, [10.0, 0.5], unit="pcs"), "l_linenumber": X.Rule(7, [1.0], ["one", "more"])}
         return X.Writer().file([X.Data([X.group_of_arrays(_columns(spark, sf_dir, "lineitem", *_LINES), rules=rules)], "dz_transposed")])
 
-    return open_mf4(spark, _file(spark, sf_dir, "lineitem_rules", build)).table().drop("record_index")
+    return _file(spark, sf_dir, "lineitem_rules", build)
+
+
+@query("conv_in_file", "SELECT l_orderkey, l_quantity * 0.5::DOUBLE + 10::DOUBLE AS l_quantity, CASE l_linenumber WHEN 1 THEN 'one' ELSE 'more' END AS l_linenumber FROM lineitem")
+def _in_file(spark, sf_dir):
+    return open_mf4(spark, _rules_file(spark, sf_dir)).table().drop("record_index")
+
+
+#: Name: (channels of ``orders`` or ``part`` in the file, rule, SQL of the converted values).
+_IN_FILE = {
+    2: ("orders", "o_totalprice", X.Rule(2, [0.0, 2.0, 1.0, 0.0, 1.0, 25.0]), "(2::DOUBLE * o_totalprice + 1) / (o_totalprice + 25)"),
+    3: ("orders", "o_totalprice", X.Rule(3, refs=["X*X + 2*X - (X - 1)/4"]), "o_totalprice * o_totalprice + 2 * o_totalprice - (o_totalprice - 1) / 4"),
+    4: ("orders", "o_totalprice", X.Rule(4, [0.0, 0.0, 500_000.0, 50.0]), "CASE WHEN o_totalprice >= 500000 THEN 50::DOUBLE ELSE 0 + (o_totalprice - 0) * 50::DOUBLE / 500000::DOUBLE END"),
+    5: ("part", "p_size", X.Rule(5, [10.0, 1.0, 20.0, 2.0, 40.0, 3.0]), "CASE WHEN p_size <= 15 THEN 1 WHEN p_size <= 30 THEN 2 ELSE 3 END::DOUBLE"),
+    6: ("part", "p_size", X.Rule(6, [1.0, 10.0, 1.0, 11.0, 20.0, 2.0, -1.0]), "CASE WHEN p_size BETWEEN 1 AND 10 THEN 1 WHEN p_size BETWEEN 11 AND 20 THEN 2 ELSE -1 END::DOUBLE"),
+    8: ("part", "p_size", X.Rule(8, [1.0, 10.0, 11.0, 20.0], ["low", "mid", "rest"]), "CASE WHEN p_size BETWEEN 1 AND 10 THEN 'low' WHEN p_size BETWEEN 11 AND 20 THEN 'mid' ELSE 'rest' END"),
+    9: ("orders", "o_orderstatus", X.Rule(9, [1.0, 2.0, 9.0], ["O", "F"]), "CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 9 END::DOUBLE"),
+    10: ("orders", "o_orderstatus", X.Rule(10, [], ["O", "open", "F", "filled", "partly"]), "CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE 'partly' END"),
+    11: ("part", "p_size", X.Rule(11, masks=[1, 48], refs=[X.Rule(7, [0.0, 1.0], ["even", "odd", None], name="parity"), X.Rule(8, [16.0, 63.0], ["big", None])]), "concat_ws('|', 'parity = ' || CASE WHEN p_size % 2 = 1 THEN 'odd' ELSE 'even' END, CASE WHEN p_size & 48 >= 16 THEN 'big' END)"),
+}
+
+for _kind, (_base, _column, _rule, _sql) in _IN_FILE.items():
+    _key = "o_orderkey" if _base == "orders" else "p_partkey"
+
+    @query(f"conv_in_file_{_kind}", f"SELECT {_key}, {_sql} AS v FROM {_base}")
+    def _kind_in_file(spark, sf_dir, kind=_kind, base=_base, column=_column, rule=_rule, key=_key):
+        def build() -> bytes:
+            got = _columns(spark, sf_dir, base, key, column)
+            if got[column].dtype.kind == "O":
+                got[column] = np.array([x.encode() for x in got[column]], "S")
+            return X.Writer().file([X.Data([X.group_of_arrays(got, rules={column: rule})], "dl_spanning", 1 << 16)])
+
+        f = open_mf4(spark, _file(spark, sf_dir, f"rule_{kind}", build), bits="text")
+        return f.table(0, [key, column]).withColumnRenamed(column, "v").drop("record_index")
+
+
+@query("conv_in_file_nested", "SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 AND o_totalprice < 300000 THEN o_totalprice * 0.5::DOUBLE + 1::DOUBLE END AS num, CASE WHEN o_totalprice >= 0 AND o_totalprice < 100000 THEN 'cheap' WHEN o_totalprice >= 100000 AND o_totalprice < 300000 THEN NULL WHEN o_totalprice = 400000 THEN 'exact' ELSE 'dear' END AS text FROM orders")
+def _nested_in_file(spark, sf_dir):
+    def build() -> bytes:
+        rule = X.Rule(8, [0, 100_000, 100_000, 300_000], ["cheap", X.Rule(1, [1.0, 0.5]), X.Rule(7, [400_000.0], ["exact", "dear"])])
+        return X.Writer().file([X.Data([X.group_of_arrays(_columns(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"), rules={"o_totalprice": rule})])])
+
+    return open_mf4(spark, _file(spark, sf_dir, "rule_nested", build)).table(0).select("o_orderkey", "o_totalprice.num", "o_totalprice.text")
+
+
+@query("invalidation_bits", "SELECT CASE WHEN p_partkey % 3 <> 0 THEN p_size END::INT AS checked, p_size::INT AS unchecked, NULL::INT AS never FROM part")
+def _invalid(spark, sf_dir):
+    def build() -> bytes:
+        got = _columns(spark, sf_dir, "part", "p_partkey", "p_size")
+        rows = np.zeros(len(got["p_size"]), np.dtype([("v", "<i4"), ("bits", "u1")]))
+        rows["v"], rows["bits"] = got["p_size"], (got["p_partkey"] % 3 == 0) << 2
+        ch = [X.Chan("checked", 2, 0, 32, flags=2, inval_pos=2), X.Chan("unchecked", 2, 0, 32, inval_pos=2), X.Chan("never", 2, 0, 32, flags=1)]
+        return X.Writer().file([X.Data([X.Group(ch, rows.tobytes(), len(rows), 4, 1)], "dl_spanning", 1000)])
+
+    return open_mf4(spark, _file(spark, sf_dir, "invalid", build)).table().drop("record_index")
+
+
+@query("duplicate_names", "SELECT p_size::INT AS size, (p_size + 1)::INT AS size_1, (p_size + 2)::INT AS size_2 FROM part")
+def _repeated(spark, sf_dir):
+    def build() -> bytes:
+        size = _columns(spark, sf_dir, "part", "p_size")["p_size"].astype("<i4")
+        ch = [X.Chan(n, 2, 4 * k, 32) for k, n in enumerate(("size", "size", "SIZE"))]
+        return X.Writer().file([X.Data([X.Group(ch, np.stack([size, size + 1, size + 2], axis=1).astype("<i4").tobytes(), len(size), 12)])])
+
+    return open_mf4(spark, _file(spark, sf_dir, "repeated", build)).table().drop("record_index").toDF("size", "size_1", "size_2")
+
+
+@query("raw_read", "SELECT l_orderkey, l_quantity, l_linenumber::INT AS l_linenumber FROM lineitem")
+def _raw_read(spark, sf_dir):
+    """The values before the rules of ``conv_in_file``."""
+    return open_mf4(spark, _rules_file(spark, sf_dir)).raw(0).select("l_orderkey", "l_quantity", F.col("l_linenumber").cast("int").alias("l_linenumber"))
+
+
+@query("array_channel", "SELECT p_partkey, [p_size, p_size + 1, p_size + 2, p_size + 3, p_size + 4, p_size + 5]::INT[] AS v FROM part")
+def _array(spark, sf_dir):
+    def build() -> bytes:
+        got = _columns(spark, sf_dir, "part", "p_partkey", "p_size")
+        rows = np.zeros(len(got["p_size"]), np.dtype([("k", "<i8"), ("v", "<i4", 6)]))
+        rows["k"], rows["v"] = got["p_partkey"], got["p_size"][:, None] + np.arange(6)
+        ch = [X.Chan("p_partkey", 2, 0, 64), X.Chan("v", 2, 8, 32, dims=(2, 3), step=4)]
+        return X.Writer().file([X.Data([X.Group(ch, rows.tobytes(), len(rows), 32)], "dl_equal", 1000)])
+
+    return open_mf4(spark, _file(spark, sf_dir, "array", build)).table().drop("record_index")
 
 
 # --- metadata
@@ -294,13 +397,13 @@ def _in_file(spark, sf_dir):
 def _full_file(spark: SparkSession, sf_dir: str) -> str:
     def build() -> bytes:
         si = X.Origin("ECM", "bus/ecm", "engine", 2, 2, 1)
-        one = X.group_of_arrays({"t": np.arange(3.0), "speed": np.array([1, 2, 3], "<i2")}, master="t", name="drive", comment="first", source=si, reductions=[(2, 0.5, 1, 0), (1, 1.0, 1, 1)])
+        one = X.group_of_arrays({"t": np.arange(3.0), "speed": np.array([1, 2, 3], "<i2")}, master="t", name="drive", comment="first", source=si, reductions=[(2, 0.5, 1, 0, b"".join(np.array([x], [("t", "<f8"), ("v", "<i2")]).tobytes() for x in ((0.25, 2), (0.0, 1), (0.5, 3), (1.5, 7), (1.0, 6), (2.0, 8)))), (1, 1.0, 1, 1)])
         one.channels[1].unit, one.channels[1].comment = "km/h", "vehicle speed"
         two = X.group_of_arrays({"t": np.arange(2.0), "rpm": np.array([700.0, 800.0]), "t2": np.zeros(2)}, master="t", flags=6)
         log = [X.Log(1_600_000_000_000_000_000, "created", flags=1), X.Log(1_600_000_001_000_000_000, "edited")]
         files = [X.Attachment(b"hello", "a\\b\\note.txt", "text/plain", "greeting", md5=X.md5(b"hello")), X.Attachment(b"zipped " * 9, "z.bin", compressed=True, md5=b"x" * 16), X.Attachment(b"", "out/side.csv", "text/csv", embedded=False), X.Attachment(b"n", None)]
         events = [X.Event("start", "go", 1, 1, 0, 1, base=10, factor=0.5), X.Event(None, None, 6, 1, scopes=2)]
-        return X.Writer().file([X.Data([one], comment="dg one"), X.Data([two], "dz_deflate")], comment="run 7", start_ns=1_600_000_000_123_456_789, tz=60, dst=120, time_flags=1, flags=1, angle=0.25, distance=8.0, attachments=files, events=events, history=log)
+        return X.Writer().file([X.Data([one], comment="dg one"), X.Data([two], "dz_deflate")], comment="run 7", start_ns=1_600_000_000_123_456_789, tz=60, dst=120, time_flags=1, flags=3, angle=0.25, distance=8.0, attachments=files, events=events, history=log)
 
     return _file(spark, sf_dir, "full", build)
 
@@ -356,6 +459,37 @@ def _reductions(spark, sf_dir):
     return open_mf4(spark, _full_file(spark, sf_dir)).reductions().select("dg_index", "idx", "cycle_count", "sample_interval", "sync_type", "flags")
 
 
+@query("reduction_records", _values("idx, channel, record_index, start, mean, min, max", "0, 't', 0::BIGINT, 0::DOUBLE, 0.25::DOUBLE, 0::DOUBLE, 0.5::DOUBLE", "0, 't', 1, 0.5, 1.5, 1, 2", "0, 'speed', 0, 0, 2, 1, 3", "0, 'speed', 1, 0.5, 7, 6, 8"))
+def _reduced(spark, sf_dir):
+    return open_mf4(spark, _full_file(spark, sf_dir)).reduced().select("idx", "channel", "record_index", "start", "mean", "min", "max")
+
+
+@query("map_channels", _values("dg_index, cg_index, cn_index, name", "0, 0, 1, 'speed'", "1, 0, 2, 't2'"))
+def _map_channels(spark, sf_dir):
+    return open_mf4(spark, _full_file(spark, sf_dir)).map_channels().select("dg_index", "cg_index", "cn_index", "name")
+
+
+@query("header_times_flag0", _values("start_time_ns, start_time_ns_compat, tz_offset_min, dst_offset_min, time_flags, start_angle_rad, start_distance_m", "1600000000123456789, 1600000000123456909, NULL::INT, NULL::INT, 0, NULL::DOUBLE, 8::DOUBLE"))
+def _header_flag0(spark, sf_dir):
+    """Local time without offsets, and a start distance without an angle."""
+    build = lambda: X.Writer().file([], start_ns=1_600_000_000_123_456_789, tz=60, dst=120, time_flags=0, flags=2, angle=0.25, distance=8.0)
+    h = open_mf4(spark, _file(spark, sf_dir, "flag0", build)).header()
+    return h.select("start_time_ns", "start_time_ns_compat", "tz_offset_min", "dst_offset_min", "time_flags", "start_angle_rad", "start_distance_m")
+
+
+@query("attachments_saved", _values("name, md5", *[f"'{n}', '{hashlib.md5(c).hexdigest()}'" for n, c in (("note.txt", b"hello"), ("z.bin", b"zipped " * 9), ("file-3", b"n"), ("note_1.txt", b"again"))]))
+def _saved(spark, sf_dir):
+    """Attachments written to the shared folder and read back; two have one name."""
+    def build() -> bytes:
+        files = [X.Attachment(b"hello", "a\\b\\note.txt"), X.Attachment(b"zipped " * 9, "z.bin", compressed=True), X.Attachment(b"", "out/side.csv", embedded=False), X.Attachment(b"n", None), X.Attachment(b"again", "c/note.txt")]
+        return X.Writer().file([], attachments=files)
+
+    at = shared_dir(spark)
+    to = f"{at if '://' in at else f'file://{at}'}/tracelake-saved-{uuid.uuid4().hex}"
+    saved = open_mf4(spark, _file(spark, sf_dir, "attached", build)).save_attachments(to)
+    return spark.read.format("binaryFile").load(saved).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("md5"))
+
+
 # --- tables of samples together
 
 @query("master_join", "SELECT a.event_id AS event_id, epoch_us(a.ts) AS t_us, a.value AS value, b.event_id AS other FROM events a JOIN events b ON a.ts = b.ts")
@@ -365,10 +499,13 @@ def _join(spark, sf_dir):
     return align.master_join(f.table(), g.table(0, ["t_us", "event_id"]).withColumnRenamed("event_id", "other"), "t_us").select("event_id", "t_us", "value", "other")
 
 
-@query("as_of_join", "SELECT event_id, epoch_us(ts) AS t_us, (SELECT max(epoch_us(b.ts)) FROM events b WHERE b.event_id % 7 = 0 AND b.ts <= a.ts) AS seen FROM events a WHERE event_id % 7 <> 0")
+@query("as_of_join", "WITH p AS (SELECT p_size, p_size * (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) FROM events) // 50 + (SELECT min(epoch_us(ts)) FROM events) AS t FROM (SELECT DISTINCT p_size FROM part)) SELECT event_id, epoch_us(ts) AS t_us, p.t AS seen, p.p_size AS size FROM events ASOF LEFT JOIN p ON epoch_us(ts) >= p.t")
 def _as_of(spark, sf_dir):
+    """All events with the last of a slower series (one value for each size of part, spread over the events' span)."""
     f = open_mf4(spark, _events_file(spark, sf_dir, "dt")).table(0, ["event_id", "t_us"]).drop("record_index")
-    return align.as_of(f.where("event_id % 7 <> 0"), f.where("event_id % 7 = 0").withColumn("seen", F.col("t_us")), "t_us", ["seen"], ranges=64)
+    span = f.agg(F.min("t_us").alias("lo"), F.max("t_us").alias("hi"))
+    slow = _table(spark, sf_dir, "part").select("p_size").distinct().join(F.broadcast(span), F.lit(True)).select(F.expr("p_size * (hi - lo) div 50 + lo").alias("t_us"), F.col("p_size").alias("size"))
+    return align.as_of(f, slow.withColumn("seen", F.col("t_us")), "t_us", ["seen", "size"])
 
 
 @query("downsample_minmaxavg", "SELECT floor(epoch_us(ts) / 3600000000)::BIGINT AS bucket, count(*) AS n, min(value) AS value_min, round(avg(value), 6) AS value_mean, max(value) AS value_max FROM events GROUP BY 1")
@@ -377,10 +514,14 @@ def _down(spark, sf_dir):
     return align.downsample(f, "t_us", 3_600_000_000, ["value"]).withColumn("value_mean", F.round("value_mean", 6))
 
 
-@query("route_records", "SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 1")
-def _route(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 3).alias("id"), F.col("o_orderkey").alias("k"))
-    return align.route(o, "id", 1).select("k")
+@query("demultiplex_records", "SELECT 1 AS id, o_orderkey AS k, o_custkey AS v FROM orders UNION ALL SELECT 258, l_orderkey, l_linenumber FROM lineitem")
+def _demultiplex(spark, sf_dir):
+    """Orders and lines mixed as raw records (a two-byte id, two integers of eight and four bytes), taken apart again."""
+    little = lambda c, n: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 2 * n, "0"), 2 * (n - 1 - k) + 1, 2) for k in range(n)]))
+    raw = lambda id_, k, v: F.concat(F.unhex(F.lit(id_)), little(k, 8), little(v, 4)).alias("record")
+    mixed = _table(spark, sf_dir, "orders").select(raw("0100", F.col("o_orderkey"), F.col("o_custkey"))).unionByName(_table(spark, sf_dir, "lineitem").select(raw("0201", F.col("l_orderkey"), F.col("l_linenumber"))))
+    own = {"k": S.unsigned(F.col("body"), 0, 8), "v": S.unsigned(F.col("body"), 8, 4)}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(i).alias("id"), F.col("k").cast("long").alias("k"), F.col("v").cast("long").alias("v")) for i, df in align.demultiplex(mixed, "record", {1: own, 258: own}, 2).items()])
 
 
 def entry(spark: SparkSession) -> DataFrame:

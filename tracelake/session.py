@@ -9,9 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder (``spark.checkpoint.dir``); a folder of our own only where none is set."""
+    """The session's checkpoint folder; a folder of our own only where none is set and Spark runs on this machine alone."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        at = spark.sparkContext._jsc.sc().getCheckpointDir()
+        at = at.get() if at.isDefined() else None
+    if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = os.path.join(tempfile.gettempdir(), "tracelake-shared")
         os.makedirs(at, exist_ok=True)
     return at.rstrip("/")

@@ -282,6 +282,8 @@ class Channel:
     conversion: Conversion | None
     data_at: int
     column: str = ""
+    dims: tuple[int, ...] = ()  # of an array whose elements lie in the record, step bytes apart
+    step: int = 0
 
     @property
     def is_vlsd(self) -> bool:
@@ -300,7 +302,22 @@ def channel(src: Source, b: Raw, index: int) -> Channel:
     type_, sync, dt, bit, byte, count, flags, inval = data(src, b, "<BBBBIIII")
     cc = conversion(src, b.link(4))
     own = text(src, b.link(6))
-    return Channel(index, text(src, b.link(2)) or "", type_, sync, dt, bit, byte, count, flags, inval, bool(b.link(1)), own if own else cc.unit if cc else own, text(src, b.link(7)), source_info(src, b.link(3)), cc, b.link(5))
+    dims, step = array_of(src, b.link(1))
+    return Channel(index, text(src, b.link(2)) or "", type_, sync, dt, bit, byte, count, flags, inval, bool(b.link(1)), own if own else cc.unit if cc else own, text(src, b.link(7)), source_info(src, b.link(3)), cc, b.link(5), dims=dims, step=step)
+
+
+def array_of(src: Source, at: int) -> tuple[tuple[int, ...], int]:
+    """(sizes of the dimensions, bytes from one element to the next) of an array block whose elements lie in the record.
+
+    Other compositions (structures, arrays of channel groups or of data groups) give no dimensions.
+    """
+    if not at or header(src, at)[0] != "##CA":
+        return (), 0
+    b = raw(src, at, "##CA")
+    _, storage, dims, _, step, _ = data(src, b, "<BBHIiI")
+    if storage:
+        return (), 0
+    return struct.unpack(f"<{dims}Q", src.small(b.data_at + 16, 8 * dims)), step
 
 
 @dataclass

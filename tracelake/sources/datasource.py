@@ -2,7 +2,7 @@
 
 =================  ====================================================================================================
 ``mf4``            one channel group as a table: ``record_index`` and a typed column for each channel (raw values)
-``mf4_samples``    all groups, long: file, dg_index, cg_index, channel, record_index, value_num, value_text
+``mf4_samples``    all groups, long: file, dg_index, cg_index, channel, record_index, value_num, value_int, value_text
 ``mf4_header``     one row a file
 ``mf4_groups``     one row a channel group
 ``mf4_channels``   one row a channel
@@ -10,6 +10,7 @@
 ``mf4_attachments``  attachments with their content
 ``mf4_history``    the change log
 ``mf4_reductions``  stored sample reductions
+``mf4_reduced``    their records, long: mean, minimum and maximum of each channel in each interval
 =================  ====================================================================================================
 
 Options of ``mf4``: ``group`` (flat index, default 0), ``channels`` (comma-separated columns: only these are decoded),
@@ -19,6 +20,8 @@ Options of ``mf4``: ``group`` (flat index, default 0), ``channels`` (comma-separ
 
 from __future__ import annotations
 
+import bisect
+import dataclasses
 import datetime as dt
 import hashlib
 import struct
@@ -27,13 +30,14 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tracelake.sources import blocks as B
-from tracelake.sources.decode import SPARK_TYPES, arrow_type, read_sorted, read_unsorted
+from tracelake.sources.decode import CHUNK_BYTES, arrow_type, decode, read_sorted, read_unsorted, spark_type
 
 
 def metadata(path: str) -> B.MeasurementFile:
@@ -66,13 +70,35 @@ def describe(c: B.Channel, group: B.ChannelGroup) -> dict:
 
 @dataclass
 class Span(InputPartition):
+    """Records first..last-1 of a group; of a sorted one with the pieces of its stream that hold them, so a task reads no list of blocks."""
+
     path: str
     first: int
     last: int
+    group: B.ChannelGroup | None = None
+    parts: list[B.Fragment] | None = None
 
-    def __init__(self, path: str, first: int, last: int):
+    def __init__(self, path: str, first: int, last: int, group: B.ChannelGroup | None = None, parts: list[B.Fragment] | None = None):
         super().__init__((path, first, last))
-        self.path, self.first, self.last = path, first, last
+        self.path, self.first, self.last, self.group, self.parts = path, first, last, group, parts
+
+
+def spans_of(src: B.Source, g: B.ChannelGroup, size: int, low: int = 0, high: int = 1 << 62) -> list[Span]:
+    """Record ranges of about ``size`` bytes of a group; one for a group whose records are mixed with others."""
+    if not g.is_sorted:
+        return [Span(src.path, low, high)] if g.data_at else []
+    n, parts = g.cycles, []
+    if g.row_bytes:
+        parts = B.fragments(src, g.data_at)
+        n = min(n, (parts[-1].start + parts[-1].length) // g.row_bytes if parts else 0)
+    step = max(1, size // max(8, g.row_bytes))
+    lo, hi = max(0, low), min(n, high)
+    starts, out = [f.start for f in parts], []
+    for a in range(lo, hi, step):
+        b = min(hi, a + step)
+        own = parts[max(0, bisect.bisect_right(starts, a * g.row_bytes) - 1) : bisect.bisect_left(starts, b * g.row_bytes)]
+        out.append(Span(src.path, a, b, g, own))
+    return out
 
 
 class GroupReader(DataSourceReader):
@@ -100,16 +126,7 @@ class GroupReader(DataSourceReader):
 
     def _spans(self, path: str) -> list[Span]:
         with B.Source(path) as src:
-            g = group_of(B.MeasurementFile.read(src), self.group)
-            if not g.is_sorted:
-                return [Span(path, self.low, self.high)] if g.data_at else []
-            n = g.cycles
-            if g.row_bytes:
-                parts = B.fragments(src, g.data_at)
-                n = min(n, (parts[-1].start + parts[-1].length) // g.row_bytes if parts else 0)
-            step = max(1, self.size // max(8, g.row_bytes))
-            lo, hi = max(0, self.low), min(n, self.high)
-            return [Span(path, a, min(hi, a + step)) for a in range(lo, hi, step)]
+            return spans_of(src, group_of(B.MeasurementFile.read(src), self.group), self.size, self.low, self.high)
 
     def partitions(self) -> list[Span]:
         with ThreadPoolExecutor(16) as pool:
@@ -119,12 +136,12 @@ class GroupReader(DataSourceReader):
         if not part.path:
             return
         with B.Source(part.path) as src:
-            file = B.MeasurementFile.read(src)
-            g = group_of(file, self.group)
-            channels = picked(g, self.channels)
-            if g.is_sorted:
-                batches = read_sorted(src, g, channels, part.first, part.last)
+            if part.group is not None:
+                batches = read_sorted(src, part.group, picked(part.group, self.channels), part.first, part.last, part.parts)
             else:
+                file = B.MeasurementFile.read(src)
+                g = group_of(file, self.group)
+                channels = picked(g, self.channels)
                 batches = (_between(b, part.first, min(part.last, g.cycles or part.last)) for b in read_unsorted(src, file.groups, g, channels))
             for b in batches:
                 if self.file_column:
@@ -151,7 +168,7 @@ class GroupSource(DataSource):
             raise FileNotFoundError(f"no measurement file at {self.options.get('path')!r}")
         g = group_of(metadata(paths[0]), int(self.options.get("group", 0)))
         fields = [StructField("record_index", LongType())]
-        fields += [StructField(c.column, SPARK_TYPES[arrow_type(c)], True, describe(c, g)) for c in picked(g, self.options.get("channels"))]
+        fields += [StructField(c.column, spark_type(arrow_type(c)), True, describe(c, g)) for c in picked(g, self.options.get("channels"))]
         if self.options.get("file_column"):
             fields.append(StructField(self.options["file_column"], StringType()))
         return StructType(fields)
@@ -163,32 +180,26 @@ class GroupSource(DataSource):
 @dataclass
 class OneFile(InputPartition):
     path: str
-    group: int = -1
 
-    def __init__(self, path: str, group: int = -1):
-        super().__init__((path, group))
-        self.path, self.group = path, group
+    def __init__(self, path: str):
+        super().__init__((path,))
+        self.path = path
 
 
 class _FileReader(DataSourceReader):
     """One task for each file; ``rows`` is given the open source and the file's metadata."""
 
-    def __init__(self, options: dict, rows, deep: bool = False):
+    def __init__(self, options: dict, rows):
         self.paths = B.paths_of(options.get("path", ""))
-        self.rows, self.deep = rows, deep
+        self.rows = rows
         self.permissive = options.get("mode", "").lower() == "permissive"
 
     def partitions(self) -> list[OneFile]:
-        if not self.deep:
-            return [OneFile(p) for p in self.paths]
-        with ThreadPoolExecutor(16) as pool:
-            counts = list(pool.map(lambda p: len(metadata(p).groups), self.paths))
-        return [OneFile(p, k) for p, n in zip(self.paths, counts, strict=True) for k in range(n)]
+        return [OneFile(p) for p in self.paths]
 
     def read(self, part: OneFile) -> Iterator:
         with B.Source(part.path) as src:
-            file = B.MeasurementFile.read(src, allow_unfinalized=not self.deep)
-            it = iter(self.rows(src, file, part.group) if self.deep else self.rows(src, file))
+            it = iter(self.rows(src, B.MeasurementFile.read(src, allow_unfinalized=True)))
             while True:
                 try:
                     row = next(it)
@@ -209,7 +220,7 @@ def header_rows(src: B.Source, f: B.MeasurementFile) -> Iterator[tuple]:
     h, i = f.header, f.id
     valid = h.time_flags == 1
     compat = h.start_ns if h.time_flags == 1 else h.start_ns + 2 * h.tz_min
-    yield (f.path, i.file, i.version, i.number, i.program, i.finalized, h.start_ns, _micros(h.start_ns), h.tz_min if valid else None, h.dst_min if valid else None, h.time_flags, compat, h.angle if h.flags & 1 else None, h.distance if h.flags & 3 else None, h.comment or "")
+    yield (f.path, i.file, i.version, i.number, i.program, i.finalized, h.start_ns, _micros(h.start_ns), h.tz_min if valid else None, h.dst_min if valid else None, h.time_flags, compat, h.angle if h.flags & 1 else None, h.distance if h.flags & 2 else None, h.comment or "")
 
 
 def _source(s: B.SourceInfo | None) -> tuple | None:
@@ -264,24 +275,105 @@ def reduction_rows(src: B.Source, f: B.MeasurementFile) -> Iterator[tuple]:
             yield (f.path, g.dg_index, g.cg_index, k, cycles, interval, B.SYNC_TYPES.get(sync, ""), flags)
 
 
-def sample_rows(src: B.Source, f: B.MeasurementFile, index: int) -> Iterator[pa.RecordBatch]:
-    g = f.groups[index]
-    if g.is_vlsd or not g.data_at:
-        return
-    channels = picked(g, None)
-    batches = read_sorted(src, g, channels, 0, g.cycles) if g.is_sorted else read_unsorted(src, f.groups, g, channels)
-    for b in batches:
-        for k, c in enumerate(channels):
-            col = b.column(k + 1)
-            n = len(col)
-            textual = pa.types.is_string(col.type) or pa.types.is_binary(col.type)
-            if pa.types.is_binary(col.type):
-                col = pa.array([None if v is None else v.hex() for v in col.to_pylist()], pa.string())
-            num = pa.nulls(n, pa.float64()) if textual else col.cast(pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([f.path] * n), pa.array([g.dg_index] * n, pa.int32()), pa.array([g.cg_index] * n, pa.int32()), pa.array([c.name] * n), b.column(0), num, col if textual else pa.nulls(n, pa.string())],
-                names=["file", "dg_index", "cg_index", "channel", "record_index", "value_num", "value_text"],
-            )
+def reduced_rows(src: B.Source, f: B.MeasurementFile) -> Iterator[tuple]:
+    """Records of stored reductions: three records of the group (mean, minimum, maximum) for each interval."""
+    for g in f.groups:
+        for k, b in enumerate(B.chain(src, g.reductions_at, "##SR")):
+            cycles, interval, _, flags = B.data(src, b, "<QdBB")
+            if not b.link(1) or not g.data_bytes:
+                continue
+            inval = g.inval_bytes if flags & 1 else 0
+            own = dataclasses.replace(g, inval_bytes=0)
+            channels = [c for c in picked(g, None) if not c.is_virtual and c.data_type <= 5]
+            size = 3 * g.data_bytes + inval
+            stream = B.Stream(src, B.fragments(src, b.link(1)))
+            step = max(1, CHUNK_BYTES // size)
+            last = min(cycles, stream.length // size)
+            for first in range(0, last, step):
+                stop = min(last, first + step)
+                rows = np.frombuffer(stream.read(first * size, stop * size), np.uint8).reshape(stop - first, size)
+                for c in channels:
+                    each = [decode(np.ascontiguousarray(rows[:, p * g.data_bytes : (p + 1) * g.data_bytes]), first, c, own).cast(pa.float64(), safe=False).to_pylist() for p in range(3)]
+                    yield from ((f.path, g.dg_index, g.cg_index, k, c.name, first + i, (first + i) * interval, *values) for i, values in enumerate(zip(*each, strict=True)))
+
+
+@dataclass
+class GroupSpan(InputPartition):
+    index: int
+    span: Span
+
+    def __init__(self, index: int, span: Span):
+        super().__init__((span.path, index, span.first))
+        self.index, self.span = index, span
+
+
+SAMPLES = "file string, dg_index int, cg_index int, channel string, record_index long, value_num double, value_int long, value_text string"
+
+
+class SamplesReader(DataSourceReader):
+    """All groups, long; sorted groups in the same record ranges as ``mf4``."""
+
+    def __init__(self, options: dict):
+        self.paths = B.paths_of(options.get("path", ""))
+        self.size = int(float(options.get("partition_mb", 64)) * (1 << 20))
+
+    def _spans(self, path: str) -> list[GroupSpan]:
+        with B.Source(path) as src:
+            return [GroupSpan(g.flat_index, s) for g in B.MeasurementFile.read(src).groups if g.data_at and not g.is_vlsd for s in spans_of(src, g, self.size)]
+
+    def partitions(self) -> list:
+        with ThreadPoolExecutor(16) as pool:
+            return [s for own in pool.map(self._spans, self.paths) for s in own] or [GroupSpan(-1, Span("", 0, 0))]
+
+    def read(self, part: GroupSpan) -> Iterator[pa.RecordBatch]:
+        span = part.span
+        if not span.path:
+            return
+        with B.Source(span.path) as src:
+            if span.group is not None:
+                g = span.group
+                channels = picked(g, None)
+                batches = read_sorted(src, g, channels, span.first, span.last, span.parts)
+            else:
+                file = B.MeasurementFile.read(src)
+                g = file.groups[part.index]
+                channels = picked(g, None)
+                batches = read_unsorted(src, file.groups, g, channels)
+            for b in batches:
+                for k, c in enumerate(channels):
+                    yield _long(span.path, g, c, b.column(0), b.column(k + 1))
+
+
+def _long(path: str, g: B.ChannelGroup, c: B.Channel, index: pa.Array, col: pa.Array) -> pa.RecordBatch:
+    """One channel's samples; ``value_int`` has every digit of whole numbers that fit 64 bits, ``value_num`` what a double can hold."""
+    n, kind = len(col), col.type
+    num, whole, text = pa.nulls(n, pa.float64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())
+    if pa.types.is_binary(kind):
+        text = pa.array([None if v is None else v.hex() for v in col.to_pylist()], pa.string())
+    elif pa.types.is_string(kind):
+        text = col
+    elif pa.types.is_list(kind):
+        text = pa.array([None if v is None else str(v) for v in col.to_pylist()], pa.string())
+    else:
+        num = col.cast(pa.float64(), safe=False)
+        if pa.types.is_integer(kind):
+            whole = col.cast(pa.int64())
+        elif pa.types.is_decimal(kind):
+            whole = pa.array([None if v is None or v >= 1 << 63 else int(v) for v in col.to_pylist()], pa.int64())
+    fixed = lambda v, t: pa.array([v] * n, t)
+    return pa.RecordBatch.from_arrays([fixed(path, pa.string()), fixed(g.dg_index, pa.int32()), fixed(g.cg_index, pa.int32()), fixed(c.name, pa.string()), index, num, whole, text], names=[x.split()[0] for x in SAMPLES.split(", ")])
+
+
+class SamplesSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "mf4_samples"
+
+    def schema(self) -> str:
+        return SAMPLES
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return SamplesReader(dict(self.options))
 
 
 _SI = "struct<name:string,path:string,comment:string,type:string,bus_type:string,flag:string>"
@@ -293,7 +385,7 @@ TABLES = {
     "mf4_attachments": (attachment_rows, "file string, idx int, name string, path string, mime_type string, comment string, embedded boolean, compressed boolean, md5_ok boolean, original_size long, creator_index int, content binary"),
     "mf4_history": (history_rows, "file string, idx int, time_ns long, time timestamp, tz_offset_min int, dst_offset_min int, time_flags int, comment string, entry string"),
     "mf4_reductions": (reduction_rows, "file string, dg_index int, cg_index int, idx int, cycle_count long, sample_interval double, sync_type string, flags int"),
-    "mf4_samples": (sample_rows, "file string, dg_index int, cg_index int, channel string, record_index long, value_num double, value_text string"),
+    "mf4_reduced": (reduced_rows, "file string, dg_index int, cg_index int, idx int, channel string, record_index long, start double, mean double, min double, max double"),
 }
 
 
@@ -309,13 +401,13 @@ def _table(name_: str) -> type[DataSource]:
             return ddl
 
         def reader(self, schema: StructType) -> DataSourceReader:
-            return _FileReader(dict(self.options), rows, deep=name_ == "mf4_samples")
+            return _FileReader(dict(self.options), rows)
 
     Table.__name__ = Table.__qualname__ = "".join(x.title() for x in name_.split("_"))
     return Table
 
 
-SOURCES = [GroupSource, *[_table(n) for n in TABLES]]
+SOURCES = [GroupSource, SamplesSource, *[_table(n) for n in TABLES]]
 
 
 def register(spark: SparkSession) -> None:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import types as T
 
-from tracelake.sources.blocks import Channel, ChannelGroup, MeasurementFileError, Source, Stream, fragments, header
+from tracelake.sources.blocks import Channel, ChannelGroup, Fragment, MeasurementFileError, Source, Stream, fragments, header
 
 UINT, UINT_BE, SINT, SINT_BE, REAL, REAL_BE, LATIN1, UTF8, UTF16, UTF16_BE, BYTES = range(11)
 LITTLE = frozenset({0, 2, 4, 8, 15})
@@ -28,6 +30,8 @@ def arrow_type(c: Channel) -> pa.DataType:
     """The Arrow type of a channel's raw values; unsigned integers are widened, 64-bit ones are decimals."""
     if c.is_virtual:
         return pa.int64()
+    if c.dims:
+        return pa.list_(arrow_type(replace(c, dims=())))
     t, n = c.data_type, c.bit_count
     if t in (UINT, UINT_BE):
         return pa.int16() if n <= 8 else pa.int32() if n <= 16 else pa.int64() if n <= 63 else pa.decimal128(20, 0)
@@ -43,6 +47,10 @@ def arrow_type(c: Channel) -> pa.DataType:
 SPARK_TYPES = {pa.int8(): T.ByteType(), pa.int16(): T.ShortType(), pa.int32(): T.IntegerType(), pa.int64(): T.LongType(), pa.decimal128(20, 0): T.DecimalType(20, 0), pa.float32(): T.FloatType(), pa.float64(): T.DoubleType(), pa.string(): T.StringType(), pa.binary(): T.BinaryType()}
 
 
+def spark_type(kind: pa.DataType) -> T.DataType:
+    return T.ArrayType(SPARK_TYPES[kind.value_type]) if pa.types.is_list(kind) else SPARK_TYPES[kind]
+
+
 def _strings(values: list[bytes], t: int) -> pa.Array:
     if t in CHARSETS:
         end = "\x00"
@@ -71,6 +79,12 @@ def _integers(part: np.ndarray, c: Channel) -> np.ndarray:
 
 def decode(records: np.ndarray, first: int, c: Channel, group: ChannelGroup) -> pa.Array:
     """One channel of a block of records (rows of bytes); ``first`` is the index of the first record."""
+    if c.dims:  # elements lie at equal distances, the last dimension's next to each other
+        many = math.prod(c.dims)
+        each = [decode(records, first, replace(c, dims=(), flags=0, byte_offset=c.byte_offset + k * c.step), group) for k in range(many)]
+        order = pa.array(np.arange(many * len(records)).reshape(many, -1).T.reshape(-1))
+        flat = pa.concat_arrays(each).take(order) if each else pa.array([], arrow_type(c).value_type)
+        return _with_nulls(pa.ListArray.from_arrays(pa.array(np.arange(0, many * len(records) + 1, max(1, many), dtype=np.int32) if many else np.zeros(len(records) + 1, np.int32)), flat), records, c, group)
     kind = arrow_type(c)
     if c.is_virtual:
         return pa.array(np.arange(first, first + len(records)))
@@ -165,8 +179,8 @@ def signal_links(src: Source, channels: list[Channel]) -> dict[int, SignalData]:
     return {c.index: SignalData(Stream(src, fragments(src, c.data_at))) for c in channels if c.is_vlsd and c.data_at and header(src, c.data_at)[0] != "##CG"}
 
 
-def read_sorted(src: Source, group: ChannelGroup, channels: list[Channel], first: int, last: int) -> Iterator[pa.RecordBatch]:
-    """Records first..last-1 of a sorted group."""
+def read_sorted(src: Source, group: ChannelGroup, channels: list[Channel], first: int, last: int, parts: list[Fragment] | None = None) -> Iterator[pa.RecordBatch]:
+    """Records first..last-1 of a sorted group; ``parts``: the pieces of its stream that hold them, where they are known."""
     size = group.row_bytes
     signals = signal_links(src, channels)
     if not size:  # virtual channels only
@@ -174,7 +188,7 @@ def read_sorted(src: Source, group: ChannelGroup, channels: list[Channel], first
             b = min(last, a + (1 << 16))
             yield _batch(np.zeros((b - a, 0), np.uint8), a, channels, group, signals, {})
         return
-    stream = Stream(src, fragments(src, group.data_at))
+    stream = Stream(src, fragments(src, group.data_at) if parts is None else parts)
     step = max(1, CHUNK_BYTES // size)
     last = min(last, stream.length // size)
     for a in range(first, last, step):
@@ -197,6 +211,10 @@ def read_unsorted(src: Source, groups: list[ChannelGroup], group: ChannelGroup,
     signals = signal_links(src, channels)
     stream = Stream(src, fragments(src, group.data_at))
     kinds = {i: (g.is_vlsd, g.row_bytes, g is group, owner.get(i)) for i, g in routes.items()}
+    # whole lengths of records of a fixed length, 0 for others
+    steps = {i: 0 if g.is_vlsd else rid + g.row_bytes for i, g in routes.items()}
+    plain = rid == 1 and not any(g.is_vlsd for g in routes.values())
+    table = [steps.get(i, 0) for i in range(256)]
     rows = np.zeros((0, group.row_bytes), np.uint8)
     inside = np.arange(group.row_bytes)
     texts: dict[int, list[bytes]] = {k: [] for k in owner.values()}
@@ -215,12 +233,23 @@ def read_unsorted(src: Source, groups: list[ChannelGroup], group: ChannelGroup,
         data = left + stream.read(at, at + CHUNK_BYTES)
         at = min(stream.length, at + CHUNK_BYTES)
         p, end, places = 0, len(data), []
+        if plain:  # only where each record begins is a loop
+            begins = []
+            while p < end and (n := table[data[p]]):
+                begins.append(p)
+                p += n
+            if p > end:
+                p = begins.pop()
+            begins = np.array(begins, np.int64)
+            places = begins[np.frombuffer(data, np.uint8)[begins] == group.record_id] + 1
         while p + rid <= end:
             record_id = data[p] if rid == 1 else int.from_bytes(data[p : p + rid], "little")
             kind = kinds.get(record_id)
             if kind is None:
                 raise MeasurementFileError(f"{src.path}: record id {record_id} is unknown")
             variable, n, mine, to = kind
+            if plain:  # a record that the chunk cuts off
+                break
             q = p + rid
             if variable:
                 if q + 4 > end:
@@ -234,8 +263,8 @@ def read_unsorted(src: Source, groups: list[ChannelGroup], group: ChannelGroup,
             elif to is not None:
                 texts[to].append(data[q : q + n])
             p = q + n
-        if places:
-            rows = np.concatenate([rows, np.frombuffer(data, np.uint8)[np.array(places)[:, None] + inside]])
+        if len(places):
+            rows = np.concatenate([rows, np.frombuffer(data, np.uint8)[np.asarray(places)[:, None] + inside]])
         left = data[p:]
         if at >= stream.length and left:
             raise MeasurementFileError(f"{src.path}: {len(left)} bytes are left over at the end of the records")

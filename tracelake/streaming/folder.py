@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSourceStreamReader
@@ -13,43 +15,39 @@ from tracelake.sources.datasource import GroupReader, GroupSource, Span
 
 
 class FolderStream(DataSourceStreamReader):
-    """Offsets are the names already read; files are taken in name order, ``max_files`` a batch at most."""
+    """Offsets name the files of each batch and carry the names read so far, so that files may come in any order of names.
+
+    A file that is not whole or not finalized is left for a later batch; ``max_files`` a batch at most, in name order.
+    An offset grows with the folder: file away what has been read.
+    """
 
     def __init__(self, options: dict):
         self.options = options
         self.most = int(options.get("max_files", 1000))
-        self._known = ""
+        self._known: set[str] = set()
 
     def initialOffset(self) -> dict:
-        return {"last": ""}
-
-    def _ready(self, after: str) -> list[str]:
-        out = []
-        for p in B.paths_of(self.options["path"]):
-            if p > after:
-                with B.Source(p) as src:
-                    try:
-                        if not B.identification(src).finalized:
-                            break  # later names wait, so that none is skipped
-                    except B.MeasurementFileError:
-                        break
-                out.append(p)
-        return out
+        return {"files": []}
+
+    def _whole(self, path: str) -> bool:
+        try:
+            with B.Source(path) as src:
+                B.MeasurementFile.read(src)
+        except (B.MeasurementFileError, OSError, struct.error):
+            return False
+        return True
 
     def latestOffset(self) -> dict:
-        ready = self._ready(self._known)[: self.most]
-        if ready:
-            self._known = ready[-1]
-        return {"last": self._known}
+        fresh = [p for p in B.paths_of(self.options["path"]) if p not in self._known]
+        with ThreadPoolExecutor(16) as pool:
+            ready = [p for p, ok in zip(fresh, pool.map(self._whole, fresh), strict=True) if ok]
+        self._known.update(ready[: self.most])
+        return {"files": sorted(self._known)}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
-        self._known = max(self._known, end["last"])
-        out = []
-        for p in B.paths_of(self.options["path"]):
-            if start["last"] < p <= end["last"]:
-                reader = GroupReader({**self.options, "path": p}, StructType())
-                out += reader._spans(p)
-        return out
+        self._known.update(end["files"])  # after a restart
+        before = set(start["files"])
+        return [s for p in end["files"] if p not in before for s in GroupReader({**self.options, "path": p}, StructType())._spans(p)]
 
     def commit(self, end: dict) -> None:
         pass
