@@ -199,6 +199,100 @@ def test_stream_of_a_folder(spark, tmp_path):
         q.stop()
 
 
+def test_stream_takes_late_names_and_leaves_broken_files(spark, tmp_path):
+    from tracelake.streaming.folder import register
+
+    register(spark)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    one = lambda a, **w: X.Writer(**w).file([X.Data([X.group_of_arrays({"v": np.arange(a, a + 10.0)})])])
+    source(folder, one(0), "m.mf4")
+
+    def start():
+        return spark.readStream.format("mf4_stream").load(str(folder)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).start(str(tmp_path / "out"))
+
+    read = lambda: sorted(r.v for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    q = start()
+    try:
+        q.processAllAvailable()
+        source(folder, b"broken", "z.mf4")
+        source(folder, one(50, unfinalized=1), "y.mf4")
+        source(folder, one(10), "a.mf4")  # sorts before what has been read
+        q.processAllAvailable()
+        assert read() == [float(k) for k in range(20)]
+    finally:
+        q.stop()
+    source(folder, one(20), "b.mf4")
+    source(folder, one(50), "y.mf4")
+    q = start()  # goes on where it stopped
+    try:
+        q.processAllAvailable()
+        assert read() == [float(k) for k in [*range(30), *range(50, 60)]]
+    finally:
+        q.stop()
+
+
+@pytest.mark.parametrize("chunk", [7, 64, 1 << 20])
+def test_mixed_records_of_fixed_length(tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(D, "CHUNK_BYTES", chunk)
+    out = b"".join(b"\1" + np.int32(k).tobytes() + (b"\2" + np.float64(k / 2).tobytes()) * (k % 3) for k in range(200))
+    one = X.Group([X.Chan("k", 2, 0, 32)], cycles=200, data_bytes=4, record_id=1)
+    two = X.Group([X.Chan("h", 4, 0, 64)], cycles=199, data_bytes=8, record_id=2)
+    path = source(tmp_path, X.Writer().file([X.Data([one, two], "dl_spanning", 50, 1, out)]))
+    f = open_groups(path)
+    assert columns(path, f[1])["k"] == list(range(200))
+    assert columns(path, f[2])["h"] == [k / 2 for k in range(200) for _ in range(k % 3)]
+    for bad, what in ((out + b"\7abc", "unknown"), (out + b"\1ab", "left over")):
+        with pytest.raises(B.MeasurementFileError, match=what):
+            columns(source(tmp_path, X.Writer().file([X.Data([one, two], "dt", 0, 1, bad)]), "bad.mf4"), f[1])
+
+
+def test_long_samples_keep_every_digit(spark, tmp_path):
+    t = np.array([1_700_000_000_123_456_789, 2**62 + 1, -5], "<i8")
+    u = np.array([2**64 - 1, 2**63 - 1, 0], "<u8")
+    f = open_mf4(spark, source(tmp_path, X.Writer().file([X.Data([X.group_of_arrays({"t": t, "u": u, "x": np.array([0.5, 1, 2])}, master="t")], "dl_equal", 24)])))
+    got = {(r.channel, r.record_index): (r.value_num, r.value_int) for r in spark.read.format("mf4_samples").option("partition_mb", "0.00002").load(f.path).collect()}
+    assert {k: v[1] for k, v in got.items()} == {**{("t", k): int(v) for k, v in enumerate(t)}, ("u", 0): None, ("u", 1): 2**63 - 1, ("u", 2): 0, **{("x", k): None for k in range(3)}}
+    assert got["u", 0][0] == float(2**64) and got["x", 0][0] == 0.5
+
+
+def test_ranges_carry_only_their_blocks(tmp_path):
+    from tracelake.sources.datasource import spans_of
+
+    path = source(tmp_path, X.Writer().file([X.Data([X.group_of_arrays({"v": np.arange(1000.0)})], "dl_spanning", 100)]))
+    with B.Source(path) as src:
+        g = B.MeasurementFile.read(src).groups[0]
+        spans = spans_of(src, g, 400)
+        assert len(spans) == 20 and max(len(s.parts) for s in spans) <= 6
+        got = [v for s in spans for b in D.read_sorted(src, g, g.channels, s.first, s.last, s.parts) for v in b.column(1).to_pylist()]
+    assert got == [float(k) for k in range(1000)]
+
+
+def test_attachments_with_one_name(spark, tmp_path):
+    files = [X.Attachment(b"a", "x/n.txt"), X.Attachment(b"b", "y/n.txt"), X.Attachment(b"", "N.txt"), X.Attachment(b"d", "n_1.txt")]
+    f = open_mf4(spark, source(tmp_path, X.Writer().file([], attachments=files)))
+    saved = f.save_attachments(str(tmp_path / "out"))
+    assert [(p.rsplit("/", 1)[1], open(p, "rb").read()) for p in saved] == [("n.txt", b"a"), ("n_1.txt", b"b"), ("N_2.txt", b""), ("n_1_1.txt", b"d")]
+    assert f.save_attachments(str(tmp_path / "none"), "idx > 9") == []
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 7])
+def test_as_of_against_plain_python(spark, ranges):
+    import random
+
+    from tracelake.operators import align
+
+    r = random.Random(5)
+    left = [(k, r.choice([None, *range(60)]), r.choice("ab")) for k in range(300)]
+    right = [(t, f"{g}{t}", g) for g in "ab" for t in r.sample(range(-5, 70), 12)] + [(None, "no", "a")]
+    a, b = spark.createDataFrame(left, "id long, t long, g string"), spark.createDataFrame(right, "t long, v string, g string")
+    for by in ([], ["g"]):
+        rows = right if by else [x for x in right if x[2] == "a"]
+        got = {x.id: x.v for x in align.as_of(a, b if by else b.where("g = 'a'"), "t", ["v"], by, ranges).collect()}
+        want = {k: max(((s, v) for s, v, h in rows if s is not None and t is not None and s <= t and (not by or h == g)), default=(0, None))[1] for k, t, g in left}
+        assert got == want
+
+
 def test_long_values_are_read_in_pieces(tmp_path, monkeypatch):
     monkeypatch.setattr(D, "SIGNAL_BYTES", 100)
     texts = [b"x" * (k * 7 % 90) for k in range(50)]
