@@ -28,12 +28,12 @@ from tracelake.llm.context_tree import CHUNK, Alphabet, GramCounts, contexts, gr
 from tracelake.llm.shared import Scratch, if_small, table, written
 from tracelake.llm.vectext import SPACE_SPLIT, buffers, mix64, pieces, signed, span_hashes, word_spans
 
-DEPTH = 6
-MIN_COUNT = 8
-MIN_GAIN = 10.0
+DEPTH = 5
+MIN_COUNT = 16
+MIN_GAIN = 20.0
 ALPHABET = 230  # all bytes but A-Z
 #: A tree of more bytes (40 for a context and for each symbol seen in it) is scored with in blocks of that size.
-TREE_BYTES = 96 << 20
+TREE_BYTES = 48 << 20
 #: Counts of so many of the most frequent words travel to every task (12 bytes each); rarer words are joined.
 HEAD_WORDS = 400_000
 
@@ -273,9 +273,10 @@ def fit(train: DataFrame, text_col: str = "text", *, depth: int = DEPTH, min_cou
 def tree_table(grams: DataFrame, a: int, depth: int, min_count: int, min_gain: float) -> DataFrame:
     """(depth, ctx, back, sym, cost) of the contexts kept, from the counts (key, n) of runs of depth + 1 symbols."""
     keep = Scratch(grams.sparkSession, "suffix-tree")
-    levels: list[DataFrame] = []
-    for d in range(depth + 1):
-        own = grams.groupBy(F.pmod("key", F.lit(a ** (d + 1))).alias("key")).agg(F.sum("n").alias("n"))
+    runs, levels = [grams], []
+    for d in range(depth - 1, -1, -1):  # each level's counts from the longer ones'
+        runs.append(keep.write(runs[-1].groupBy(F.pmod("key", F.lit(a ** (d + 1))).alias("key")).agg(F.sum("n").alias("n")), f"runs{d}"))
+    for d, own in enumerate(reversed(runs)):
         seen = own.groupBy(F.expr(f"key div {a}").alias("ctx")).agg(F.sum("n").alias("t"), F.collect_list(F.struct(F.pmod("key", F.lit(a)).cast("int").alias("s"), "n")).alias("e")).where(F.col("t") >= (min_count if d else 1))
         if d:
             above = levels[-1].select(F.col("ctx").alias("_suffix"), F.map_from_arrays("sym", "p").alias("_p"))
@@ -395,6 +396,7 @@ HELD_OUT = "pmod(crc32(cast(doc_id as string)), 10) = 0"
 
 
 def op9_suffix_tree_lm(spark, sf_dir: str) -> DataFrame:
+    """Scores of every document, by a model learned from nine tenths of them."""
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.expr(HELD_OUT), F.lit(False))
     model, rare = fit(docs.where(~held))
