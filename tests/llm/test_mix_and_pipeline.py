@@ -77,7 +77,7 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     second = pipeline.known_language(spark, first, sf)
     assert sorted(map(repr, second.collect())) == sorted(map(repr, rows))  # all are in a known language
     third = pipeline.near_duplicates(spark, second, sf)
-    group = brute([(r.doc_id, r.text) for r in rows])
+    group = brute([(r.doc_id, r.text) for r in rows], 80)
     rows = [r for r in rows if group[r.doc_id] == r.doc_id]
     assert sorted(map(repr, third.collect())) == sorted(map(repr, rows))
     from plain import shingles
@@ -108,3 +108,32 @@ def test_against_sql(spark, sf, name):
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in df.select(*columns).collect())
 
 
+def test_pipeline_stages_on_odd_rows_and_no_rows(spark, frame, odd_rows, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for rows in (odd_rows + [(300 + k, prose(k, 80), None, None) for k in range(5)], []):
+        docs = frame(rows)
+        names = docs.columns
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            got = out.collect()
+            if name == "source_mix":
+                assert set(names) - {"size"} <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+            else:
+                assert out.columns == names and {repr(r) for r in got} <= {repr(r) for r in docs.collect()}
+            if not rows:
+                assert got == []
+            if name == "near_dedup" and rows:
+                assert sorted(r.doc_id for r in got if r.doc_id in (4, 5)) == [4]
+
+
+def test_keep_mixed_against_mixed(frame, odd_rows):
+    rows = [r for r in odd_rows if r[0] not in (4, None)] + [(400 + k, prose(k, 30 + k), "en", f"s{k % 3}") for k in range(30)]
+    want = {r.doc_id: r.taken for r in mixing.mixed(frame(rows)).collect() if r.taken}
+    assert {r.doc_id: r.taken for r in mixing.keep_mixed(frame(rows)).collect()} == want
+
+
+def test_sizes_of_parts_do_not_matter(frame, odd_rows, monkeypatch):
+    rows = odd_rows + [(400 + k, prose(k, 30 + k), "en", f"s{k % 3}") for k in range(30)]
+    want = sorted(map(repr, mixing.mixed(frame(rows)).collect()))
+    monkeypatch.setattr(mixing, "PART_ROWS", 0.001)
+    assert sorted(map(repr, mixing.mixed(frame(rows)).collect())) == want

@@ -141,6 +141,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", t
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item that it contains."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

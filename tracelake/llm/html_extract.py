@@ -442,4 +442,5 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
 
 
 def op7_template_extraction(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extracted(table(spark, sf_dir, "pages"))

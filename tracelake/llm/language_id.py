@@ -198,6 +198,7 @@ HELD_OUT = "pmod(crc32(cast(doc_id as string)), 4) = 2"
 
 
 def op2_ppm_language_id(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, by models learned from three quarters of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.expr(HELD_OUT), F.lit(False))
     model = fit(docs.where(~held))

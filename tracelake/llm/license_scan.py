@@ -234,6 +234,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
+    """License places and labels of every document."""
     return scan(table(spark, sf_dir, "documents"))
 
 

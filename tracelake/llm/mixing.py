@@ -13,6 +13,8 @@ of hash or time ranges, then inside each range), so no source and no global orde
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from tracelake.llm.shared import table, written
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-TIME_RANGES = 4096
+#: Documents of a source are summed up in parts, and virtual times in ranges, of about so many rows (4096 of either at least).
+PART_ROWS = 250_000
 WORD = r"[^\x20\x09-\x0D]++"
 
 
@@ -64,7 +67,9 @@ def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     gives empty results.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), source_key(F.col(source_col).cast("string")).alias("src"), words(F.col(text_col)).alias("size"))
-    base = written(base.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))))), "mix-sizes").withColumn("part", F.substring("h", 1, 3))
+    base = written(base.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))))), "mix-sizes")
+    many = max(4096, int(epochs * base.count() // PART_ROWS))
+    base = base.withColumn("part", F.substring("h", 1, max(3, math.ceil(math.log(many, 16)))))
     aims = targets(base, epochs, weights)
     parts = base.groupBy("src", "part").agg(F.sum("size").alias("n"))
     ahead = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,7 +81,7 @@ def schedule(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     copy = F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))
     served = F.col("epoch").cast("long") * F.col("source_size") + F.col("start")
     copies = rows.where("size > 0").select("*", copy.alias("epoch")).withColumn("words", F.least("size", F.ceil("target") - served)).where("words > 0")
-    copies = copies.withColumn("finish", (served + F.col("size")).cast("double") / F.col("target")).withColumn("range", F.least(F.floor(F.col("finish") * TIME_RANGES), F.lit(2 * TIME_RANGES)))
+    copies = copies.withColumn("finish", (served + F.col("size")).cast("double") / F.col("target")).withColumn("range", F.least(F.floor(F.col("finish") * many), F.lit(2 * many)))
     ranges = copies.groupBy("range").agg(F.sum("words").alias("n"))
     ranges = ranges.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     clock = Window.partitionBy("range").orderBy("finish", "src", "start", "epoch").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,6 +107,7 @@ def keep_mixed(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 
 
 def op6_weighted_fair_mix(spark, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document."""
     return mixed(table(spark, sf_dir, "documents"))
 
 

@@ -309,6 +309,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def op10_minhash_near_dup(spark, sf_dir: str) -> DataFrame:
+    """The component of near duplicates of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

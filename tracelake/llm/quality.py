@@ -8,6 +8,7 @@ passed.  The order changes the work, never the verdict: a text is kept if no rul
 from __future__ import annotations
 
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -145,27 +146,40 @@ ADDED = (
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """``rules`` by rejections per nanosecond, as measured on about ``sample_rows`` rows spread over the whole table."""
+    """``rules`` by rejections per nanosecond among the rows that the rules before them leave.
+
+    Measured on about ``sample_rows`` rows spread over the whole table: the time of each rule, and which sets of rules
+    reject how many rows.  Ties keep the given order, as does an empty table.
+    """
     total = docs.count()
     if not total:
         return list(rules)
     sample = docs.select(F.col(text_col).cast("string")).sample(min(1.0, sample_rows / total), seed=17)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent, hit, rows = [0] * len(rules), [0] * len(rules), 0
+        """(k, n): nanoseconds of rule k for k < 0 (as -1 - k), else rows that just the rules in the bits of k reject."""
+        spent, sets = [0] * len(rules), Counter()
         for batch in batches:
             raw, offsets = buffers(batch.column(0))
             for a, b in pieces(offsets):
-                rows += b - a
+                bits = np.zeros(b - a, np.int64)
                 for k, rule in enumerate(rules):
                     t = Texts(raw, offsets[a : b + 1])
                     began = time.perf_counter_ns()
-                    hit[k] += int(rule.rejects(t).sum())
+                    bad = rule.rejects(t)
                     spent[k] += time.perf_counter_ns() - began
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int64()), pa.array(spent, pa.int64()), pa.array(hit, pa.int64()), pa.array([rows] * len(rules), pa.int64())], names=["k", "ns", "hit", "n"])
+                    bits |= bad.astype(np.int64) << k
+                sets.update(bits.tolist())
+        yield pa.RecordBatch.from_arrays([pa.array([*range(-len(rules), 0), *sets], pa.int64()), pa.array([*spent[::-1], *sets.values()], pa.int64())], names=["k", "n"])
 
-    got = {r.k: (r.hit + 0.5 * r.n / (r.n + 1)) / max(1, r.ns) for r in sample.mapInArrow(measure, "k long, ns long, hit long, n long").groupBy("k").agg(F.sum("ns").alias("ns"), F.sum("hit").alias("hit"), F.sum("n").alias("n")).collect()}
-    return [rules[k] for k in sorted(range(len(rules)), key=lambda k: -got.get(k, 0))]
+    got = {r.k: r.n for r in sample.mapInArrow(measure, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    left, out = set(range(len(rules))), []
+    while left:
+        open_ = {k: n for k, n in got.items() if k >= 0 and not any(k >> r & 1 for r in out)}
+        gain = {r: (sum(n for k, n in open_.items() if k >> r & 1) + 0.5) / max(1, got.get(-1 - r, 0)) for r in left}
+        out.append(max(sorted(left), key=lambda r: gain[r]))
+        left.discard(out[-1])
+    return [rules[k] for k in out]
 
 
 def passes(t: Texts, rules: list[Rule], among: np.ndarray | None = None) -> np.ndarray:
@@ -222,6 +236,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op4_quality_cascade(spark, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
     return with_statistics(table(spark, sf_dir, "documents"))
 
 

@@ -109,6 +109,7 @@ def judged(pages: DataFrame, url_col: str = "url", host_rules=HOST_RULES, patter
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
     return judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "pattern", "verdict")
 
 

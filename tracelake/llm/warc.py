@@ -315,6 +315,7 @@ def read_warc(spark: SparkSession, uri: str, manifest: DataFrame | None = None,
 
 
 def op1_warc_writer(spark, sf_dir: str) -> DataFrame:
+    """All ``pages`` written to WARC files in the shared folder and read back: one row a page."""
     at = shared_dir(spark)
     uri = f"{at if '://' in at else 'file://' + at}/warc-{uuid.uuid4().hex}"
     manifest = write_warc(table(spark, sf_dir, "pages"), uri)
