@@ -101,6 +101,10 @@ class MeasurementSet:
     def reductions(self) -> DataFrame:
         return self._load("mf4_reductions")
 
+    def hierarchy(self) -> DataFrame:
+        """The tree of channel hierarchies."""
+        return self._load("mf4_hierarchy")
+
     def reduced(self) -> DataFrame:
         """The records of stored reductions, long."""
         return self._load("mf4_reduced")

@@ -58,7 +58,7 @@ def _state(spark: SparkSession, sf_dir: str) -> str:
 
 def _file(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], bytes]) -> str:
     """The fixture's path; written under its final name only when whole, and made once for each input."""
-    root = f"{shared_dir(spark)}/tracelake-fixtures-5/{_state(spark, sf_dir)}"
+    root = f"{shared_dir(spark)}/tracelake-fixtures-6/{_state(spark, sf_dir)}"
     uri = root if "://" in root else f"file://{root}"
     fs, at = pafs.FileSystem.from_uri(uri)
     path = f"{at}/{name}.mf4"
@@ -403,7 +403,7 @@ def _full_file(spark: SparkSession, sf_dir: str) -> str:
         log = [X.Log(1_600_000_000_000_000_000, "created", flags=1), X.Log(1_600_000_001_000_000_000, "edited")]
         files = [X.Attachment(b"hello", "a\\b\\note.txt", "text/plain", "greeting", md5=X.md5(b"hello")), X.Attachment(b"zipped " * 9, "z.bin", compressed=True, md5=b"x" * 16), X.Attachment(b"", "out/side.csv", "text/csv", embedded=False), X.Attachment(b"n", None)]
         events = [X.Event("start", "go", 1, 1, 0, 1, base=10, factor=0.5), X.Event(None, None, 6, 1, scopes=2)]
-        return X.Writer().file([X.Data([one], comment="dg one"), X.Data([two], "dz_deflate")], comment="run 7", start_ns=1_600_000_000_123_456_789, tz=60, dst=120, time_flags=1, flags=3, angle=0.25, distance=8.0, attachments=files, events=events, history=log)
+        return X.Writer().file([X.Data([one], comment="dg one"), X.Data([two], "dz_deflate")], comment="run 7", start_ns=1_600_000_000_123_456_789, tz=60, dst=120, time_flags=1, flags=3, angle=0.25, distance=8.0, attachments=files, events=events, history=log, hierarchy=[X.Level("engine", 1, [(0, 0, 1)], [X.Level("speed", 5, [(1, 0, 1), (1, 0, 2)], comment="rpm")]), X.Level("empty")])
 
     return _file(spark, sf_dir, "full", build)
 
@@ -464,6 +464,12 @@ def _reduced(spark, sf_dir):
     return open_mf4(spark, _full_file(spark, sf_dir)).reduced().select("idx", "channel", "record_index", "start", "mean", "min", "max")
 
 
+@query("list_hierarchy", _values("idx, parent, level, name, comment, type, elements", "0, NULL::INT, 0, 'engine', '', 'FUNCTION', '0.0.1'", "1, 0, 1, 'speed', 'rpm', 'OUTPUT', '1.0.1,1.0.2'", "2, NULL, 0, 'empty', '', 'GROUP', ''"))
+def _hierarchy(spark, sf_dir):
+    told = F.concat_ws(",", F.transform("elements", lambda e: F.concat_ws(".", e["dg_index"], e["cg_index"], e["cn_index"])))
+    return open_mf4(spark, _full_file(spark, sf_dir)).hierarchy().select("idx", "parent", "level", "name", "comment", "type", told.alias("elements"))
+
+
 @query("map_channels", _values("dg_index, cg_index, cn_index, name", "0, 0, 1, 'speed'", "1, 0, 2, 't2'"))
 def _map_channels(spark, sf_dir):
     return open_mf4(spark, _full_file(spark, sf_dir)).map_channels().select("dg_index", "cg_index", "cn_index", "name")

@@ -190,6 +190,7 @@ class Header:
     first_fh: int
     first_at: int
     first_ev: int
+    first_ch: int
     comment: str | None
     start_ns: int
     tz_min: int
@@ -204,13 +205,14 @@ class Header:
 def file_header(src: Source) -> Header:
     b = raw(src, 64, "##HD")
     start, tz, dst, tf, tc, fl, _, angle, distance = data(src, b, "<QhhBBBBdd")
-    return Header(b.link(0), b.link(1), b.link(3), b.link(4), text(src, b.link(5)), start, tz, dst, tf, tc, fl, angle, distance)
+    return Header(b.link(0), b.link(1), b.link(3), b.link(4), b.link(2), text(src, b.link(5)), start, tz, dst, tf, tc, fl, angle, distance)
 
 
-# Names of source types, bus types, channel types and synchronisation types.
+# Names of source types, bus types, channel types, levels of a hierarchy and synchronisation types.
 SOURCE_TYPES = {0: "OTHER", 1: "ECU", 2: "BUS", 3: "I/O", 4: "TOOL", 5: "USER"}
 BUS_TYPES = {0: "NONE", 1: "OTHER", 2: "CAN", 3: "LIN", 4: "MOST", 5: "FLEXRAY", 6: "K_LINE", 7: "ETHERNET", 8: "USB"}
 CHANNEL_TYPES = {0: "FixedLenght", 1: "VLSD", 2: "Master", 3: "VirtualMaster", 4: "Synchronization", 5: "MaximumLengthData", 6: "VirtualData"}
+HIERARCHY_TYPES = {0: "GROUP", 1: "FUNCTION", 2: "STRUCTURE", 3: "MAP_LIST", 4: "INPUT", 5: "OUTPUT", 6: "LOCAL", 7: "CALIBRATION_DEFINITION", 8: "CALIBRATION_OBJECT"}
 SYNC_TYPES = {0: "None", 1: "Time", 2: "Angle", 3: "Distance", 4: "Index"}
 
 
@@ -284,6 +286,7 @@ class Channel:
     column: str = ""
     dims: tuple[int, ...] = ()  # of an array whose elements lie in the record, step bytes apart
     step: int = 0
+    at: int = 0
 
     @property
     def is_vlsd(self) -> bool:
@@ -303,7 +306,7 @@ def channel(src: Source, b: Raw, index: int) -> Channel:
     cc = conversion(src, b.link(4))
     own = text(src, b.link(6))
     dims, step = array_of(src, b.link(1))
-    return Channel(index, text(src, b.link(2)) or "", type_, sync, dt, bit, byte, count, flags, inval, bool(b.link(1)), own if own else cc.unit if cc else own, text(src, b.link(7)), source_info(src, b.link(3)), cc, b.link(5), dims=dims, step=step)
+    return Channel(index, text(src, b.link(2)) or "", type_, sync, dt, bit, byte, count, flags, inval, bool(b.link(1)), own if own else cc.unit if cc else own, text(src, b.link(7)), source_info(src, b.link(3)), cc, b.link(5), dims=dims, step=step, at=b.at)
 
 
 def array_of(src: Source, at: int) -> tuple[tuple[int, ...], int]:

@@ -10,6 +10,7 @@
 ``mf4_attachments``  attachments with their content
 ``mf4_history``    the change log
 ``mf4_reductions``  stored sample reductions
+``mf4_hierarchy``  channel hierarchies
 ``mf4_reduced``    their records, long: mean, minimum and maximum of each channel in each interval
 =================  ====================================================================================================
 
@@ -275,6 +276,23 @@ def reduction_rows(src: B.Source, f: B.MeasurementFile) -> Iterator[tuple]:
             yield (f.path, g.dg_index, g.cg_index, k, cycles, interval, B.SYNC_TYPES.get(sync, ""), flags)
 
 
+def hierarchy_rows(src: B.Source, f: B.MeasurementFile) -> Iterator[tuple]:
+    """The tree of channel hierarchies, parents first; elements are (data group, channel group, channel) by number."""
+    places = {c.at: (g.dg_index, g.cg_index, c.index) for g in f.groups for c in g.channels}
+    left = [(b, None, 0) for b in reversed(list(B.chain(src, f.header.first_ch, "##CH")))]
+    idx, seen = 0, set()
+    while left:
+        b, parent, level = left.pop()
+        if b.at in seen:
+            raise B.MeasurementFileError(f"{src.path}: the hierarchy runs in a circle at {b.at}")
+        seen.add(b.at)
+        count, kind = B.data(src, b, "<IB")
+        elements = [places[to] for k in range(count) if (to := b.link(4 + 3 * k + 2)) in places]
+        yield (f.path, idx, parent, level, B.text(src, b.link(2)) or "", B.text(src, b.link(3)) or "", B.HIERARCHY_TYPES.get(kind, ""), elements)
+        left += [(c, idx, level + 1) for c in reversed(list(B.chain(src, b.link(1), "##CH")))]
+        idx += 1
+
+
 def reduced_rows(src: B.Source, f: B.MeasurementFile) -> Iterator[tuple]:
     """Records of stored reductions: three records of the group (mean, minimum, maximum) for each interval."""
     for g in f.groups:
@@ -385,6 +403,7 @@ TABLES = {
     "mf4_attachments": (attachment_rows, "file string, idx int, name string, path string, mime_type string, comment string, embedded boolean, compressed boolean, md5_ok boolean, original_size long, creator_index int, content binary"),
     "mf4_history": (history_rows, "file string, idx int, time_ns long, time timestamp, tz_offset_min int, dst_offset_min int, time_flags int, comment string, entry string"),
     "mf4_reductions": (reduction_rows, "file string, dg_index int, cg_index int, idx int, cycle_count long, sample_interval double, sync_type string, flags int"),
+    "mf4_hierarchy": (hierarchy_rows, "file string, idx int, parent int, level int, name string, comment string, type string, elements array<struct<dg_index:int,cg_index:int,cn_index:int>>"),
     "mf4_reduced": (reduced_rows, "file string, dg_index int, cg_index int, idx int, channel string, record_index long, start double, mean double, min double, max double"),
 }
 
