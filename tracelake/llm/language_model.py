@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.context_tree import CHUNK, Alphabet, GramCounts, contexts, gram_codes
 from tracelake.llm.shared import Scratch, if_small, table, written
-from tracelake.llm.vectext import SPACE_SPLIT, buffers, mix64, pieces, signed, span_hashes, word_spans
+from tracelake.llm.vectext import SPACE_SPLIT, buffers, pieces, signed, span_hashes, word_spans
 
 DEPTH = 5
 MIN_COUNT = 16
@@ -105,7 +105,7 @@ class Pairs:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(2 * len(keys)).bit_length())
-        self.mask = (1 << bits) - 1
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
         self.keys = np.full(1 << bits, -1, np.int64)
         self.values = np.zeros(1 << bits, values.dtype)
         left, at = np.arange(len(keys)), self._slot(keys)
@@ -118,19 +118,25 @@ class Pairs:
             left, at = left[rest], (at[rest] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mix64(keys.astype(np.uint64)) & np.uint64(self.mask)).astype(np.int64)
+        with np.errstate(over="ignore"):
+            return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(found, values) for all keys."""
-        found, out = np.zeros(len(keys), bool), np.zeros(len(keys), self.values.dtype)
-        left, at = np.arange(len(keys)), self._slot(keys)
+        at = self._slot(keys)
+        held = self.keys[at]
+        found = held == keys
+        out = self.values[at]
+        left = np.flatnonzero(~found & (held >= 0))
+        at = at[left]
         while len(left):
+            at = (at + 1) & self.mask
             held = self.keys[at]
             hit = held == keys[left]
             found[left[hit]] = True
             out[left[hit]] = self.values[at[hit]]
             on = ~hit & (held >= 0)
-            left, at = left[on], (at[on] + 1) & self.mask
+            left, at = left[on], at[on]
         return found, out
 
 
@@ -142,18 +148,13 @@ class SuffixTree:
         size = self.size = alphabet.size
         self.depth, self.block, self.blocks = depth, block, blocks
         self.uniform, self.each_other = -math.log10(size - 1), -math.log10(alphabet.others)
-        ids, parents, backs, links, seen, costs = [], [], [], [], [], []
+        parents, backs, names, seen, costs = [], [], [], [], []
         base, above = 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))  # sorted codes of the level above, their ids
         for d, (code, back, row, sym, cost) in enumerate(levels):
             own = base + np.arange(len(code))
             base += len(code)
-            if d:
-                parent = above[1][np.searchsorted(above[0], code % size ** (d - 1))] if len(code) else np.zeros(0, np.int64)
-                links.append((parent * size + code // size ** (d - 1), own))
-            else:
-                parent = np.full(len(code), -1)
-            ids.append(own)
-            parents.append(parent)
+            parents.append(above[1][np.searchsorted(above[0], code % size ** (d - 1))] if d and len(code) else np.full(len(code), -1))
+            names.append(code * (depth + 1) + d)
             backs.append(back)
             seen.append(own[row] * size + sym)
             costs.append(cost)
@@ -161,7 +162,8 @@ class SuffixTree:
             above = (code[order], own[order])
         join = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
         self.parent, self.back = join(parents, np.int32), join(backs, np.float32)
-        self.child = Pairs(join([k for k, _ in links], np.int64), join([v for _, v in links], np.int32))
+        #: Ids by code and depth.  As a context is kept with all its suffixes, the longest kept one is found by bisection.
+        self.node = Pairs(join(names, np.int64), np.arange(base, dtype=np.int32))
         self.seen = Pairs(join(seen, np.int64), join(costs, np.float32))
 
     def costs(self, sym: np.ndarray, ctx: list[np.ndarray]) -> np.ndarray:
@@ -174,21 +176,28 @@ class SuffixTree:
         if not len(self.parent):
             out[live] += self.uniform
             return out
-        node = np.zeros(len(sym), np.int64)
-        down = live
-        for c in ctx:
-            hit, nxt = self.child.get(node[down] * self.size + c[down])
-            down = down[hit]
-            node[down] = nxt[hit]
+        code = np.zeros(len(live), np.int64)
+        for c in reversed(ctx):
+            code *= self.size
+            code += c[live]
+        powers = self.size ** np.arange(self.depth + 1, dtype=np.int64)
+        node, low, high = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64), np.full(len(live), self.depth)
+        for _ in range(self.depth.bit_length()):
+            mid = (low + high + 1) >> 1
+            hit, at = self.node.get(code % powers[mid] * (self.depth + 1) + mid)
+            np.copyto(node, at, where=hit)
+            low = np.where(hit, mid, low)
+            high = np.where(hit, high, np.maximum(mid - 1, low))
+        sym = sym[live]
         while len(live):
-            hit, cost = self.seen.get(node[live] * self.size + sym[live])
+            hit, cost = self.seen.get(node * self.size + sym)
             out[live[hit]] += cost[hit]
-            live = live[~hit]
-            out[live] += self.back[node[live]]
-            node[live] = self.parent[node[live]]
-            done = node[live] < 0
+            live, node, sym = live[~hit], node[~hit], sym[~hit]
+            out[live] += self.back[node]
+            node = self.parent[node].astype(np.int64)
+            done = node < 0
             out[live[done]] += self.uniform
-            live = live[~done]
+            live, node, sym = live[~done], node[~done], sym[~done]
         return out
 
     def sums(self, sym: np.ndarray, offsets: np.ndarray) -> np.ndarray:
