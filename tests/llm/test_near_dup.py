@@ -108,3 +108,45 @@ def test_pipeline_stage_links_from_80_percent_on(spark, frame):
     want, close = brute(rows, 80), brute(rows, 85)
     assert len(set(want.values())) < len(set(close.values()))
     assert sorted(r.doc_id for r in pipeline.near_duplicates(spark, frame(rows), "").collect()) == sorted(set(want.values()))
+
+
+@pytest.mark.parametrize("place", [13, 7])
+def test_templated_texts_make_no_pairs(spark, place):
+    """Notices that differ in one number: shared shingles are in no prefix that matters, whether the set is small or larger."""
+    from tracelake.llm.shared import Scratch
+
+    for length in (13, 56):
+        w = [f"w{k}" for k in range(length)]
+        rows = [(k, " ".join(w[:place] + [f"n{k}"] + w[place:])) for k in range(3000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        texts = docs.selectExpr("doc_id AS id", "text")
+        left = docs.selectExpr("doc_id AS id", "doc_id AS component")
+        assert near_dup.prefix_pairs(left, texts, 5, 85, Scratch(spark, "t")).count() == 0
+
+
+def test_prefix_pairs_lose_nothing(spark):
+    r = random.Random(11)
+    texts = {}
+    for k in range(240):  # families of many sizes around the threshold
+        w = prose(k % 9, 12 + 9 * (k % 13)).split()
+        cut = r.randrange(0, 1 + len(w) // 20)
+        w = w[cut:] + [f"x{k}"] * r.randrange(2)
+        texts[k] = edited(" ".join(w), r.randrange(0, 2), k)
+    sets = {k: shingles(t) for k, t in texts.items()}
+    want = {(a, b) for a, b in itertools.combinations(texts, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    from tracelake.llm.shared import Scratch
+
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for component in ("id", "id % 3"):
+        got = {(x.a, x.b) for x in near_dup.prefix_pairs(docs.selectExpr("id", f"{component} AS component"), docs, 5, 85, Scratch(spark, "t")).collect()}
+        assert {p for p in want if component == "id" or p[0] % 3 != p[1] % 3} <= got
+    assert len(want) > 50
+
+
+def test_size_bands():
+    bands = near_dup.size_bands(10_000).tolist()
+    assert bands[:60] == list(range(1, 61)) and bands[-1] > 10_000 and all(a < b for a, b in zip(bands, bands[1:], strict=False))
+    for x in range(1, 60):
+        for y in range(1, 60):
+            t = near_dup.overlap(x, y, 85)
+            assert 100 * t >= 85 * (x + y - t) and 100 * (t - 1) < 85 * (x + y - t + 1)

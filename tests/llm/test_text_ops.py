@@ -224,9 +224,12 @@ def test_contamination(spark, frame, odd_rows):
         got = [tuple(r)[:4] for r in decontaminate.contaminated(frame(rows), items, block_bytes=blocks).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, want))
     clean = decontaminate.keep_clean(frame(rows), items)
+    assert sorted(map(repr, decontaminate.keep_clean(frame(rows), items, block_bytes=64).collect())) == sorted(map(repr, clean.collect()))
     dirty = {repr(x[0]) for x in want}
     assert sorted(repr(r.doc_id) for r in clean.collect()) == sorted(repr(r[0]) for r in rows if repr(r[0]) not in dirty or r[1] is None or not any(repr(r[0]) == repr(x[0]) for x in want) or (r[0] is None and not shingles(r[1])))
-    assert decontaminate.contaminated(frame([]), items).collect() == []
+    assert decontaminate.contaminated(frame([]), items).collect() == [] == decontaminate.contaminated(frame([]), items, block_bytes=64).collect()
+    pairs = [decontaminate.contained_pairs(frame(rows).selectExpr("md5(text) AS tkey", "text"), items.selectExpr("md5(text) AS ikey", "text"), 5, 80, bytes_).collect() for bytes_ in (1 << 20, 100)]
+    assert sorted(map(repr, pairs[0])) == sorted(map(repr, pairs[1])) != []
     assert decontaminate.contaminated(frame(rows), items.limit(0)).collect() == []
 
 
