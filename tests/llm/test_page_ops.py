@@ -127,6 +127,18 @@ def test_urls(pages):
     assert url_filter.judged(pages([])).collect() == []
 
 
+def test_long_rule_lists_are_joined(spark, pages):
+    more = (("block", "b.org", "/xyz"), ("allow", "a.b.org", "/x"), ("block", "site7.net", ""), ("allow", "deep.site7.net", "/ok"), *[("block", f"h{k}.example.com", f"/{k % 7}") for k in range(3000)])
+    rules = spark.createDataFrame([*url_filter.HOST_RULES, *more], "verdict string, host string, path string")
+    urls = [*URLS, "http://a.b.org/xyz", "http://x.deep.site7.net/ok/1", "http://www.site7.net/", "http://h12.example.com/5/a", "http://h12.example.com/6", "http://" + "a." * 5000 + "site7.net/", "http://x.net/" + "y" * 300_000]
+    rows = pages([(k, u, "h") for k, u in enumerate(urls)])
+    got = url_filter.judged(rows, host_rules=rules)
+    want = url_filter.judged(rows, host_rules=(*url_filter.HOST_RULES, *more[:4], *[r for r in more if r[1] == "h12.example.com"]))
+    pick = ("page_id", "host", "path", "rule", "pattern", "verdict")
+    assert sorted(map(repr, got.select(*pick).collect())) == sorted(map(repr, want.select(*pick).collect())) and len(got.columns) == len(want.columns)
+    assert {r.page_id: r.rule for r in got.collect()}[len(URLS)] == "a.b.org/x"
+
+
 def test_every_rule_is_filed_under_its_rarest_token():
     buckets = url_filter.pattern_index(url_filter.PATTERN_RULES)
     assert sorted(r[3] for b in buckets for r in b) == sorted(p for _, p in url_filter.PATTERN_RULES)

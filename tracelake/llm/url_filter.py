@@ -15,7 +15,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import table
+from tracelake.llm.shared import if_small, table, written
 
 #: Host rules (verdict, host, path).
 HOST_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -86,14 +86,38 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, fits) of the different hosts of ``hosts`` (host): the rules (verdict, host, path) of the host and the domains above it, longest first.
+
+    For lists too long for a plan: the suffixes of each different host are joined with the rules' hosts.
+    """
+    parts = F.split("host", r"\.")
+    most = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1  # no rule fits a longer suffix
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), F.size(parts) - most + 1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    asked = rules.select(F.col("host").alias("_rhost"), F.col("path").alias("_rpath"), F.col("verdict").alias("_what")).distinct()
+    rule = F.concat("_rhost", "_rpath")
+    fit = F.struct((-F.length(rule)).alias("order"), rule.alias("rule"), F.col("_rpath").alias("path"), F.col("_what").alias("verdict"))
+    return hosts.select("host").distinct().select("host", F.explode(F.array_distinct(suffixes)).alias("_rhost")).join(asked, "_rhost").groupBy("host").agg(F.array_sort(F.collect_list(fit)).alias("fits"))
+
+
 def judged(pages: DataFrame, url_col: str = "url", host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
     """``pages`` with host, path, rule (the host rule that decides, else null), pattern (the first matching expression, else
-    null) and verdict; URLs that nothing fits are allowed, null URLs too.  Columns of these names are replaced."""
+    null) and verdict; URLs that nothing fits are allowed, null URLs too.  Columns of these names are replaced.
+
+    ``host_rules``: tuples (verdict, host, path) that become part of the plan, or a table of these columns of any length.
+    Of rules of one length the first by code point decides."""
     url = F.col(url_col)
     out = pages.withColumns({"host": host_of(url), "path": path_of(url)})
-    # longest rule first: the first that fits decides
-    ordered = sorted(host_rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    ordered = ()
+    if isinstance(host_rules, DataFrame):
+        own = written(rules_by_host(out, host_rules), "url-rules").withColumnRenamed("host", "_host")
+        out = out.join(if_small(own, 400), out["host"] == own["_host"], "left").drop("_host")
+        first = F.get(F.filter("fits", lambda r: F.col("path").startswith(r["path"])), F.lit(0))
+        out = out.withColumn("_fit", first).drop("fits")
+        rule, verdict = F.col("_fit.rule"), F.col("_fit.verdict")
+    else:  # longest rule first: the first that fits decides
+        ordered = sorted(host_rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     for what, host, path in reversed(ordered):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, verdict = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
@@ -105,7 +129,7 @@ def judged(pages: DataFrame, url_col: str = "url", host_rules=HOST_RULES, patter
     matched = F.array_min(F.transform(F.filter(fetched, lambda r: F.regexp_like(url, r["pattern"])), lambda r: F.struct(r["rank"].alias("rank"), r["verdict"].alias("verdict"), r["pattern"].alias("pattern"))))
     out = out.withColumns({"rule": rule, "_own": verdict})
     out = out.withColumn("_hit", F.when(F.col("_own").isNull(), matched))
-    return out.withColumns({"pattern": F.col("_hit.pattern"), "verdict": F.coalesce("_own", F.col("_hit.verdict"), F.lit("allow"))}).drop("_own", "_hit")
+    return out.withColumns({"pattern": F.col("_hit.pattern"), "verdict": F.coalesce("_own", F.col("_hit.verdict"), F.lit("allow"))}).drop("_own", "_hit", "_fit")
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
