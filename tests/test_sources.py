@@ -247,6 +247,32 @@ def test_mixed_records_of_fixed_length(tmp_path, monkeypatch, chunk):
             columns(source(tmp_path, X.Writer().file([X.Data([one, two], "dt", 0, 1, bad)]), "bad.mf4"), f[1])
 
 
+@pytest.mark.parametrize("late", [0, 3])
+def test_mixed_records_in_ranges(spark, tmp_path, late):
+    """Ranges of the stream give what the whole gives, also where texts follow their records later."""
+    out, texts = b"", []
+    for k in range(300):
+        out += b"\1" + np.int32(k).tobytes() + bytes(8) + (b"\3" + np.float64(k).tobytes()) * (k % 2)
+        texts.append(b"\2" + (k % 5).to_bytes(4, "little") + b"y" * (k % 5))
+        if k % 7 >= late or len(texts) > late:
+            out += b"".join(texts)
+            texts = []
+    out += b"".join(texts)
+    one = X.Group([X.Chan("k", 2, 0, 32), X.Chan("s", 7, 4, 64, type=1, signal_group=2)], cycles=300, data_bytes=12, record_id=1)
+    two, three = X.Group([], cycles=300, record_id=2, flags=1), X.Group([X.Chan("h", 4, 0, 64)], cycles=150, data_bytes=8, record_id=3)
+    folder = tmp_path / "f"
+    folder.mkdir()
+    for name in ("a.mf4", "b.mf4"):
+        path = source(folder, X.Writer().file([X.Data([one, two, three], "dl_spanning", 64, 1, out)]), name)
+    f, group = open_mf4(spark, str(folder)), open_groups(path)
+    for g in (group[1], group[3]):
+        whole, cut = f.table(g, file_column="file"), f.table(g, file_column="file", sync=f.synchronised(g, 0.0005))
+        assert cut.rdd.getNumPartitions() > 10 > whole.rdd.getNumPartitions()
+        assert sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
+        assert cut.where("record_index >= 40 and record_index < 90").count() == 100
+    assert f.table(group[1], sync=f.synchronised(group[1], 0.0005)).where("record_index < 5").rdd.getNumPartitions() < 5
+
+
 def test_long_samples_keep_every_digit(spark, tmp_path):
     t = np.array([1_700_000_000_123_456_789, 2**62 + 1, -5], "<i8")
     u = np.array([2**64 - 1, 2**63 - 1, 0], "<u8")

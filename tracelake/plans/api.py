@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import mimetypes
 import os
 import uuid
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from tracelake.functions.conversion import ConversionError, compile_conversion
 from tracelake.sources import blocks as B
 from tracelake.sources.datasource import group_of, metadata, picked, register
-from tracelake.sources.decode import CHARSETS
+from tracelake.session import shared_dir
+from tracelake.sources.decode import CHARSETS, sync_points
 
 
 class MeasurementSet:
@@ -46,6 +48,34 @@ class MeasurementSet:
             reader = reader.option("channels", ",".join(channels))
         return self._kept(reader.load(self.path))
 
+    def synchronised(self, group: int = 0, every_mb: float = 64) -> str:
+        """Goes through the mixed records of a group's stream once, file by file in parallel, and writes where it can be cut.
+
+        The returned address is the ``sync`` option of ``raw`` and ``table``, whose tasks are then ranges of the stream.
+        """
+        every = max(1, int(every_mb * (1 << 20)))
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                told = []
+                for path in batch.column(0).to_pylist():
+                    with B.Source(path) as src:
+                        file = B.MeasurementFile.read(src)
+                        g = group_of(file, group)
+                        points = [] if g.is_sorted or not g.data_at else sync_points(src, file.groups, g.dg_index, every)
+                    told.append(json.dumps([[at, n[group]] for at, n in points]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string())], names=["path", "points"])
+
+        paths = B.paths_of(self.path)
+        rows = self.spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+        found = {r.path: json.loads(r.points) for r in rows.mapInArrow(walk, "path string, points string").toLocalIterator()}
+        at = shared_dir(self.spark)
+        uri = f"{at if '://' in at else f'file://{at}'}/tracelake-sync-{uuid.uuid4().hex}.json"
+        fs, to = pafs.FileSystem.from_uri(uri)
+        with fs.open_output_stream(to) as f:
+            f.write(json.dumps(found).encode())
+        return uri
+
     def table(self, group: int = 0, channels: list[str] | None = None, **options: str) -> DataFrame:
         """As ``raw``, with every channel's conversion applied as a Column expression."""
         g = group_of(self.file, group)

@@ -133,6 +133,13 @@ def _unsorted(spark, sf_dir):
     return one.unionByName(two)
 
 
+@query("scan_unsorted_ranges", "SELECT l_orderkey, l_linenumber::INT AS l_linenumber, l_quantity, row_number() OVER () - 1 AS record_index FROM lineitem")
+def _unsorted_ranges(spark, sf_dir):
+    """Mixed records in ranges of about 100 kB: places to cut are found once, then each range is a task."""
+    f = open_mf4(spark, _unsorted_file(spark, sf_dir, 1))
+    return f.table(1, sync=f.synchronised(1, 0.1)).select("l_orderkey", "l_linenumber", "l_quantity", "record_index")
+
+
 for _rid in (2, 4, 8):
 
     @query(f"scan_unsorted_id{_rid}", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")

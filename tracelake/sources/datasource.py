@@ -15,7 +15,8 @@
 =================  ====================================================================================================
 
 Options of ``mf4``: ``group`` (flat index, default 0), ``channels`` (comma-separated columns: only these are decoded),
-``partition_mb`` (64), ``file_column`` (name of a column with the file's path).  Record ranges in filters on
+``partition_mb`` (64), ``file_column`` (name of a column with the file's path), ``sync`` (places at which a mixed group may
+be cut, as ``MeasurementSet.synchronised`` writes them).  Record ranges in filters on
 ``record_index`` prune partitions (``register`` turns on Spark's filter pushdown for Python sources).
 """
 
@@ -25,6 +26,7 @@ import bisect
 import dataclasses
 import datetime as dt
 import hashlib
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -71,23 +74,34 @@ def describe(c: B.Channel, group: B.ChannelGroup) -> dict:
 
 @dataclass
 class Span(InputPartition):
-    """Records first..last-1 of a group; of a sorted one with the pieces of its stream that hold them, so a task reads no list of blocks."""
+    """Records first..last-1 of a group.
+
+    Of a sorted one with the pieces of its stream that hold them, so a task reads no list of blocks; of a mixed one with
+    the part of the stream that is gone through (begin, end, number of the first record in it).
+    """
 
     path: str
     first: int
     last: int
     group: B.ChannelGroup | None = None
     parts: list[B.Fragment] | None = None
+    part: tuple[int, int | None, int] = (0, None, 0)
+
+    def __init__(self, path: str, first: int, last: int, group: B.ChannelGroup | None = None, parts: list[B.Fragment] | None = None, part: tuple[int, int | None, int] = (0, None, 0)):
+        super().__init__((path, first, last, part))
+        self.path, self.first, self.last, self.group, self.parts, self.part = path, first, last, group, parts, part
 
-    def __init__(self, path: str, first: int, last: int, group: B.ChannelGroup | None = None, parts: list[B.Fragment] | None = None):
-        super().__init__((path, first, last))
-        self.path, self.first, self.last, self.group, self.parts = path, first, last, group, parts
 
+def spans_of(src: B.Source, g: B.ChannelGroup, size: int, low: int = 0, high: int = 1 << 62, sync: list | None = None) -> list[Span]:
+    """Record ranges of about ``size`` bytes of a group.
 
-def spans_of(src: B.Source, g: B.ChannelGroup, size: int, low: int = 0, high: int = 1 << 62) -> list[Span]:
-    """Record ranges of about ``size`` bytes of a group; one for a group whose records are mixed with others."""
+    A group whose records are mixed with others is one range, or one for each of its ``sync`` points (place, records before).
+    """
     if not g.is_sorted:
-        return [Span(src.path, low, high)] if g.data_at else []
+        if not g.data_at:
+            return []
+        points = [*(sync or [[0, 0]]), [None, 1 << 62]]
+        return [Span(src.path, low, high, part=(a[0], b[0], a[1])) for a, b in zip(points, points[1:], strict=False) if a[1] < high and b[1] > low]
     n, parts = g.cycles, []
     if g.row_bytes:
         parts = B.fragments(src, g.data_at)
@@ -109,6 +123,11 @@ class GroupReader(DataSourceReader):
         self.channels = options.get("channels")
         self.size = int(float(options.get("partition_mb", 64)) * (1 << 20))
         self.file_column = options.get("file_column")
+        self.sync: dict[str, list] = {}
+        if at := options.get("sync"):
+            fs, path = pafs.FileSystem.from_uri(at)
+            with fs.open_input_stream(path) as f:
+                self.sync = json.loads(f.read())
         self.low, self.high = 0, 1 << 62
 
     def pushFilters(self, filters: list) -> Iterator:
@@ -127,7 +146,7 @@ class GroupReader(DataSourceReader):
 
     def _spans(self, path: str) -> list[Span]:
         with B.Source(path) as src:
-            return spans_of(src, group_of(B.MeasurementFile.read(src), self.group), self.size, self.low, self.high)
+            return spans_of(src, group_of(B.MeasurementFile.read(src), self.group), self.size, self.low, self.high, self.sync.get(path))
 
     def partitions(self) -> list[Span]:
         with ThreadPoolExecutor(16) as pool:
@@ -143,7 +162,7 @@ class GroupReader(DataSourceReader):
                 file = B.MeasurementFile.read(src)
                 g = group_of(file, self.group)
                 channels = picked(g, self.channels)
-                batches = (_between(b, part.first, min(part.last, g.cycles or part.last)) for b in read_unsorted(src, file.groups, g, channels))
+                batches = (_between(b, part.first, min(part.last, g.cycles or part.last)) for b in read_unsorted(src, file.groups, g, channels, *part.part))
             for b in batches:
                 if self.file_column:
                     b = b.append_column(self.file_column, pa.array([part.path] * b.num_rows, pa.string()))

@@ -198,11 +198,51 @@ def read_sorted(src: Source, group: ChannelGroup, channels: list[Channel], first
             yield _batch(part, at, channels, group, signals, {})
 
 
-def read_unsorted(src: Source, groups: list[ChannelGroup], group: ChannelGroup, channels: list[Channel]) -> Iterator[pa.RecordBatch]:
+def sync_points(src: Source, groups: list[ChannelGroup], dg_index: int, every: int) -> list[tuple[int, dict[int, int]]]:
+    """Places in a stream of mixed records where a record begins, ``every`` bytes or more apart, the first at 0.
+
+    Each with how many records of every flat group lie before it.  Only places where variable-length groups have as many
+    records as the groups that link to them are taken, so a range of the stream is complete in itself.
+    """
+    own = [g for g in groups if g.dg_index == dg_index]
+    rid = own[0].record_id_size
+    by_at = {g.at: g.record_id for g in own}
+    twins = [(g.record_id, by_at[c.data_at]) for g in own for c in g.channels if c.is_vlsd and c.data_at in by_at]
+    size = {g.record_id: -1 if g.is_vlsd else rid + g.row_bytes for g in own}
+    flat = {g.record_id: g.flat_index for g in own}
+    counts = dict.fromkeys(size, 0)
+    stream = Stream(src, fragments(src, own[0].data_at))
+    out, at, left, begin, due = [(0, dict.fromkeys(flat.values(), 0))], 0, b"", 0, every
+    while at < stream.length:
+        data = left + stream.read(at, at + CHUNK_BYTES)
+        at = min(stream.length, at + CHUNK_BYTES)
+        p, end = 0, len(data)
+        while p + rid <= end:
+            if begin + p >= due and all(counts[a] == counts[b] for a, b in twins):
+                out.append((begin + p, {flat[i]: n for i, n in counts.items()}))
+                due = begin + p + every
+            record_id = data[p] if rid == 1 else int.from_bytes(data[p : p + rid], "little")
+            n = size.get(record_id)
+            if n is None:
+                raise MeasurementFileError(f"{src.path}: record id {record_id} is unknown")
+            if n < 0:
+                if p + rid + 4 > end:
+                    break
+                n = rid + 4 + int.from_bytes(data[p + rid : p + rid + 4], "little")
+            if p + n > end:
+                break
+            counts[record_id] += 1
+            p += n
+        begin, left = begin + p, data[p:]
+    return out
+
+
+def read_unsorted(src: Source, groups: list[ChannelGroup], group: ChannelGroup, channels: list[Channel], begin: int = 0, end_at: int | None = None, first: int = 0) -> Iterator[pa.RecordBatch]:
     """The records of one group of a data group whose records are mixed, in file order.
 
     The stream is read once, in chunks. Variable-length channels whose link is a channel group take that group's
-    records in order: the k-th belongs to the k-th record of ``group``.
+    records in order: the k-th belongs to the k-th record of ``group``.  ``begin`` and ``end_at`` are places of
+    ``sync_points``, ``first`` the number of the group's records before ``begin``.
     """
     rid = group.record_id_size
     routes = {g.record_id: g for g in groups if g.dg_index == group.dg_index}
@@ -218,7 +258,8 @@ def read_unsorted(src: Source, groups: list[ChannelGroup], group: ChannelGroup,
     rows = np.zeros((0, group.row_bytes), np.uint8)
     inside = np.arange(group.row_bytes)
     texts: dict[int, list[bytes]] = {k: [] for k in owner.values()}
-    done, left, at = 0, b"", 0
+    done, left, at = first, b"", begin
+    stop = stream.length if end_at is None else end_at
 
     def flush(n: int) -> pa.RecordBatch:
         nonlocal done, rows
@@ -229,9 +270,9 @@ def read_unsorted(src: Source, groups: list[ChannelGroup], group: ChannelGroup,
         done += n
         return batch
 
-    while at < stream.length or left:
-        data = left + stream.read(at, at + CHUNK_BYTES)
-        at = min(stream.length, at + CHUNK_BYTES)
+    while at < stop or left:
+        data = left + stream.read(at, min(stop, at + CHUNK_BYTES))
+        at = min(stop, at + CHUNK_BYTES)
         p, end, places = 0, len(data), []
         if plain:  # only where each record begins is a loop
             begins = []
@@ -266,7 +307,7 @@ def read_unsorted(src: Source, groups: list[ChannelGroup], group: ChannelGroup,
         if len(places):
             rows = np.concatenate([rows, np.frombuffer(data, np.uint8)[np.asarray(places)[:, None] + inside]])
         left = data[p:]
-        if at >= stream.length and left:
+        if at >= stop and left:
             raise MeasurementFileError(f"{src.path}: {len(left)} bytes are left over at the end of the records")
         ready = min([len(rows), *[len(v) for v in texts.values()]])
         if ready:
