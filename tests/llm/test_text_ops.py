@@ -280,7 +280,7 @@ def plain_tree(texts, alphabet, depth, min_count, min_gain):
         n, below = tree[ctx], p(tree, ctx[1:], s) if ctx else 1 / (alphabet.size - 1)
         return (n[s] + len(n) * below) / (sum(n.values()) + len(n))
 
-    gain = lambda c: sum(k * math.log(k / sum(often[c].values()) / p(often, c[1:], s)) for s, k in often[c].items())
+    gain = lambda c: sum(k * math.log(k / sum(often[c].values()) / p(often, c[1:], s)) for s, k in often[c].items()) / len(often[c])
     kept = {c[k:] for c in often if c and gain(c) >= min_gain for k in range(len(c) + 1)} | {()}
     tree = {c: often[c] for c in kept}
 
@@ -293,8 +293,8 @@ def plain_tree(texts, alphabet, depth, min_count, min_gain):
 
 def test_suffix_tree_against_plain_python(frame, odd_rows):
     train = [(k, prose(k % 7, 40 + k)) for k in range(30)] + [(99, "zebra quilt"), (100, None)]
-    model, rare = language_model.fit(frame(train), depth=4, min_count=6, min_gain=5.0)
-    score, size = plain_tree([t for _, t in train], model.alphabet, 4, 6, 5.0)
+    model, rare = language_model.fit(frame(train), depth=4, min_count=6, min_gain=1.5)
+    score, size = plain_tree([t for _, t in train], model.alphabet, 4, 6, 1.5)
     assert model.tree.count() == size > 50
     rows = [r for r in odd_rows if len(r[1] or "") < 10_000] + [(50, prose(3, 60)), (51, "ZEBRA  quilt\tßß"), (52, prose(77, 50))]
     for tree_bytes in (1 << 30, model.tree_bytes // 5):

@@ -2,7 +2,8 @@
 
 A text is its tokens (A-Z lower-cased) joined by single spaces, then an end mark.  The tree keeps variable-length contexts
 of up to ``DEPTH`` symbols: those that occur at least ``MIN_COUNT`` times in the training texts and whose next-symbol counts
-diverge from what their suffix predicts by at least ``MIN_GAIN`` nats in all; a context is kept with all its suffixes.  In a
+diverge from what their suffix predicts: by at least ``MIN_GAIN`` nats, summed over the training texts, for each symbol
+seen there, so that every number stored pays; a context is kept with all its suffixes.  In a
 context seen t times before q different symbols, a symbol seen n times has probability (n + q * p) / (t + q), where p is what
 the suffix gives it; below the root all symbols are alike.  Each symbol is predicted by the longest kept suffix of what
 precedes it.  Counts cover all training texts and both bars are absolute, so the tree grows with the corpus.
@@ -29,8 +30,8 @@ from tracelake.llm.shared import Scratch, if_small, table, written
 from tracelake.llm.vectext import SPACE_SPLIT, buffers, pieces, signed, span_hashes, word_spans
 
 DEPTH = 5
-MIN_COUNT = 16
-MIN_GAIN = 20.0
+MIN_COUNT = 4
+MIN_GAIN = 1.0
 ALPHABET = 230  # all bytes but A-Z
 #: A tree of more bytes (40 for a context and for each symbol seen in it) is scored with in blocks of that size.
 TREE_BYTES = 48 << 20
@@ -298,7 +299,7 @@ def tree_table(grams: DataFrame, a: int, depth: int, min_count: int, min_gain: f
         seen = seen.withColumn("e", e)
         gain = F.aggregate("e", F.lit(0.0), lambda z, x: z + x["n"] * F.log(x["n"] / F.col("t") / x["b"]))
         p = F.transform("e", lambda x: (x["n"] + q * x["b"]) / (F.col("t") + q))
-        levels.append(keep.write(seen.select("ctx", F.log10(q / (F.col("t") + q)).alias("back"), F.transform("e", lambda x: x["s"]).alias("sym"), p.alias("p"), gain.alias("gain")), f"level{d}"))
+        levels.append(keep.write(seen.select("ctx", F.log10(q / (F.col("t") + q)).alias("back"), F.transform("e", lambda x: x["s"]).alias("sym"), p.alias("p"), (gain / q).alias("gain")), f"level{d}"))
     out, longer = None, None
     for d in range(depth, -1, -1):
         kept = levels[d]
