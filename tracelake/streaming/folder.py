@@ -17,16 +17,19 @@ from tracelake.sources.datasource import GroupReader, GroupSource, Span
 class FolderStream(DataSourceStreamReader):
     """Offsets name the files of each batch and carry the names read so far, so that files may come in any order of names.
 
-    A file that is not whole or not finalized is left for a later batch; ``max_files`` a batch at most, in name order.
-    An offset grows with the folder: file away what has been read.
+    A file that is not whole or not finalized is left for a later batch; ``max_files`` a batch at most, in name order, but
+    for the first batch after a restart: a reader is not told what was read before, so it offers all files and leaves out
+    those read when the batch is planned.  An offset grows with the folder: file away what has been read.
     """
 
     def __init__(self, options: dict):
         self.options = options
         self.most = int(options.get("max_files", 1000))
         self._known: set[str] = set()
+        self._told = False  # whether what was read before is known
 
     def initialOffset(self) -> dict:
+        self._told = True
         return {"files": []}
 
     def _whole(self, path: str) -> bool:
@@ -41,7 +44,8 @@ class FolderStream(DataSourceStreamReader):
         fresh = [p for p in B.paths_of(self.options["path"]) if p not in self._known]
         with ThreadPoolExecutor(16) as pool:
             ready = [p for p, ok in zip(fresh, pool.map(self._whole, fresh), strict=True) if ok]
-        self._known.update(ready[: self.most])
+        self._known.update(ready[: self.most] if self._told else ready)
+        self._told = True
         return {"files": sorted(self._known)}
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
