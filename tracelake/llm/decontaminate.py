@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import Scratch, if_small, table
+from tracelake.llm.shared import Scratch, if_small, small_batches, table
 from tracelake.llm.vectext import SHINGLE_WORDS, buffers, shingle_rows, signed
 
 #: Items of up to so many bytes of text (measured) are broadcast as one index.
@@ -90,6 +90,7 @@ class ContainmentIndex:
 
 def _index(items: DataFrame, size: int, percent: int, block_bytes: int):
     """The broadcast index of ``items`` (item, text), or None where they are too large for one."""
+    small_batches(items.sparkSession)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if total > block_bytes:
         return None

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.context_tree import Alphabet, ContextTree, GramCounts, contexts, gram_codes
-from tracelake.llm.shared import Scratch, table
+from tracelake.llm.shared import Scratch, small_batches, table
 from tracelake.llm.vectext import buffers, pieces
 
 DEPTH = 3
@@ -85,6 +85,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", key
     Only counts of byte runs come to the driver: their number is bounded by the sample.  Rows with a null language or text
     are not learned from.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).cast("string").alias("key"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     low = rows.withColumn("h", F.xxhash64("key", "text")).join(F.broadcast(counts), "lang").where((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("n") <= 4 * per_lang)

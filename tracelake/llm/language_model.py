@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.context_tree import CHUNK, Alphabet, GramCounts, contexts, gram_codes
-from tracelake.llm.shared import Scratch, if_small, table, written
+from tracelake.llm.shared import Scratch, if_small, small_batches, table, written
 from tracelake.llm.vectext import SPACE_SPLIT, buffers, pieces, signed, span_hashes, word_spans
 
 DEPTH = 5
@@ -250,6 +250,7 @@ class Model:
 
 def fit(train: DataFrame, text_col: str = "text", *, depth: int = DEPTH, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN, head_words: int = HEAD_WORDS) -> tuple[Model, DataFrame]:
     """(model, counts (key, n) of the words beside the ``head_words`` most frequent ones) learned from all rows of ``train``."""
+    small_batches(train.sparkSession)
     rows = train.select(F.col(text_col).cast("string").alias("text"))
     seen = np.zeros(256, np.int64)
     for r in rows.mapInArrow(_byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():

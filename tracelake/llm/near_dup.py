@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.components import connected_components
 from tracelake.llm.decontaminate import SHINGLES_SQL, WORDS_SQL
-from tracelake.llm.shared import Scratch, if_small, table, written
+from tracelake.llm.shared import Scratch, if_small, small_batches, table, written
 from tracelake.llm.vectext import SHINGLE_WORDS, buffers, mix64, shingle_rows, signed
 
 M, K = 16, 4
@@ -155,6 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component and is kept.  Rows that repeat an id share its component; the same id under different texts joins their
     links.  Other columns of ``docs`` are not looked at, whatever their names.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     keep = Scratch(docs.sparkSession, "near-dup")
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = base.where("id is not null")

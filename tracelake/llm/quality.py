@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.shared import table
+from tracelake.llm.shared import small_batches, table
 from tracelake.llm.vectext import FOLDED, SPACE_SPLIT, buffers, mix64, pieces, span_hashes, window_hashes, word_spans
 
 #: Cost and selectivity are estimated on about so many rows; they only set the order of the rules.
@@ -151,6 +151,7 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text"
     Measured on about ``sample_rows`` rows spread over the whole table: the time of each rule, and which sets of rules
     reject how many rows.  Ties keep the given order, as does an empty table.
     """
+    small_batches(docs.sparkSession)
     total = docs.count()
     if not total:
         return list(rules)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Sides of at most so many bytes are broadcast; their size is measured first.
 BROADCAST_BYTES = 8 << 20
+BATCH_ROWS = 2000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -73,5 +74,12 @@ def if_small(df: DataFrame, row_bytes: int, most: int = BROADCAST_BYTES) -> Data
     return F.broadcast(df) if df.count() * row_bytes <= most else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python at most ``BATCH_ROWS`` rows at a time, unless the session says something else itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's own default
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
