@@ -5,7 +5,7 @@ import random
 
 import pytest
 from plain import prose, shingles
-from tracelake.llm import near_dup
+from tracelake.llm import components, near_dup
 from tracelake.llm.components import connected_components
 
 
@@ -92,6 +92,36 @@ def test_components(spark):
     assert got == {k: 0 for k in range(41)} | {90: 90, 95: 90, 100: 90, 200: 200, 201: 200, 202: 200}
 
 
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_components_by_either_join(spark, monkeypatch, most):
+    """Labels sent to every task and labels that are joined give the same; few labels take few tasks where partitions are many."""
+    monkeypatch.setattr(components, "BROADCAST_BYTES", most)
+    rng = random.Random(3)
+    pairs = [(0, k) for k in range(1, 300)] + [(k, k + 1) for k in range(1000, 1012)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(120)]
+    want = {k: k for p in pairs for k in p if p[0] != p[1]}
+    while any(want.get(a, a) != want.get(b, b) for a, b in pairs):
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    held = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    tracker, group = spark.sparkContext.statusTracker(), f"components-{most}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        labels = connected_components(spark.createDataFrame(pairs, "a long, b long"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.id: r.component for r in labels.collect()} == want
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    rounds = int(labels.inputFiles()[0].rsplit("/", 2)[1].removeprefix("labels")) + 1
+    if most:
+        assert tasks < 100 + 60 * rounds
+
+
 def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = brute(rows)

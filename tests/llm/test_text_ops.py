@@ -314,3 +314,25 @@ def test_empty_model(frame, odd_rows):
     model, rare = language_model.fit(frame([]))
     assert len(language_model.score(frame(odd_rows), model, rare, keep=["doc_id"]).collect()) == len(odd_rows)
     assert language_model.score(frame([]), model, rare).collect() == []
+
+
+def test_language_model_is_built_in_little_memory():
+    """The driver builds it: at most four arrays of the tree's size at once (the old way took over seven)."""
+    import tracemalloc
+
+    from tracelake.llm.language_id import ALPHABET, PPM, Alphabet
+
+    alphabet, rng = Alphabet.of_counts(np.full(256, 9), ALPHABET), np.random.default_rng(5)
+    square = alphabet.size**2
+    grams = {}
+    for lang in "abcd":
+        codes = np.unique(rng.integers(0, square, 40)[:, None] * square + rng.integers(0, square, (40, 60)))
+        grams[lang] = (codes, rng.integers(1, 9, len(codes)))
+    tracemalloc.start()
+    try:
+        model = PPM(list("abcd"), alphabet, grams)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * model.tree.costs.nbytes
+    assert np.isfinite(model.tree.costs).all() and (model.usual > 0).all()

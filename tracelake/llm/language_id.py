@@ -27,6 +27,7 @@ DEPTH = 3
 #: The classifier is fitted on at most so many whole labelled texts of each language, those first in a fixed hash order.
 SAMPLE_PER_LANG = 800
 ALPHABET = 230  # all bytes but A-Z
+SLICE = 256  # contexts whose probabilities are worked out at once
 #: A text that needs more than so many times the bits a byte of its language's training texts is in no learned language.
 SLACK = 2.0
 
@@ -47,20 +48,20 @@ class PPM:
                 ok = node >= 0
                 np.add.at(seen, (node[ok], (codes % a)[ok], k), n[ok])
         p = np.zeros_like(seen)
-        for layer in tree.layers():
-            n = seen[layer]
-            if not len(n):
-                continue
-            below = np.full((1, a, 1), 1.0 / (a - 1), np.float32) if layer.start == 0 else p[tree.parent[layer]]
+        # in slices and in place: the driver holds two arrays of the tree's size, not six
+        for part in (slice(at, min(at + SLICE, x.stop)) for x in tree.layers() for at in range(x.start, x.stop, SLICE)):
+            n = seen[part]
+            below = np.full((1, a, 1), 1.0 / (a - 1), np.float32) if part.start == 0 else p[tree.parent[part]]
             total, kinds = n.sum(axis=1, keepdims=True), (n > 0).sum(axis=1, keepdims=True)
             rest = np.where(n > 0, 0, below)
             spare = rest.sum(axis=1, keepdims=True)
             with np.errstate(divide="ignore", invalid="ignore"):
                 own = np.where(n > 0, n / (total + kinds), (kinds / (total + kinds)) * rest / spare)
-            p[layer] = np.where(total > 0, own, below)  # a context that the language never saw predicts as its suffix does
-        bits = -np.log2(np.maximum(p, 1e-30))
+            p[part] = np.where(total > 0, own, below)  # a context that the language never saw predicts as its suffix does
+        del seen
+        bits = np.negative(np.log2(np.maximum(p, np.float32(1e-30), out=p), out=p), out=p)
         bits[:, Alphabet.OTHER] += np.log2(alphabet.others)
-        tree.costs = bits.astype(np.float32)
+        tree.costs = bits
         #: Bits a byte of the training texts of each language under their own language.
         self.usual = np.zeros(len(langs))
         for k, lang in enumerate(langs):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.components import connected_components
 from tracelake.llm.decontaminate import SHINGLES_SQL, WORDS_SQL
-from tracelake.llm.shared import Scratch, if_small, small_batches, table, written
+from tracelake.llm.shared import BROADCAST_BYTES, Scratch, if_small, small_batches, table, written
 from tracelake.llm.vectext import SHINGLE_WORDS, buffers, mix64, shingle_rows, signed
 
 M, K = 16, 4
@@ -143,7 +143,8 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE_WORDS,
     """
     dealt = pairs.withColumn("side", F.pmod(F.xxhash64("b"), F.lit(SIDES)))
     wanted = dealt.select(F.col("b").alias("id"), "a", "side", F.lit(1).alias("own")).unionByName(dealt.select(F.col("a").alias("id"), "a", "side", F.lit(0).alias("own")).distinct())
-    rows = texts.join(if_small(wanted, ROW), "id").select("a", "side", "own", "id", "text")
+    few = 2 * pairs.count() * ROW <= BROADCAST_BYTES  # ``wanted`` is no table, counting it would make it twice
+    rows = texts.join(F.broadcast(wanted) if few else wanted, "id").select("a", "side", "own", "id", "text")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "a", "side").sortWithinPartitions("a", "side", "own").mapInArrow(_confirm(size, percent), "a long, b long")
 
