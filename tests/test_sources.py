@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from tracelake import fixtures as X
 from tracelake.plans.api import open_mf4
 from tracelake.sources import blocks as B
+from tracelake.sources import datasource as S
 from tracelake.sources import decode as D
 
 LAYOUTS = ("dt", "dl_equal", "dl_offsets", "dl_spanning", "dz_deflate", "dz_transposed", "hl_dl_dz")
@@ -327,3 +328,34 @@ def test_long_values_are_read_in_pieces(tmp_path, monkeypatch):
         g = X.Group([X.Chan("s", 7, 0, 64, type=1, signal=texts, signal_layout=layout)], at.tobytes(), 50, 8)
         got = columns(source(tmp_path, X.Writer().file([X.Data([g])])))
         assert got["s"] == [t.decode() for t in texts] and got["record_index"] == list(range(50))
+
+
+def test_signal_streams_are_read_by_their_lists(tmp_path, monkeypatch):
+    """A range of records reads the headers of its own blocks only, and texts count for the ranges' sizes."""
+    texts = [b"%06d" % k * 50 for k in range(400)]
+    at = np.cumsum([0] + [4 + len(t) for t in texts[:-1]]).astype("<u8")
+    ch = [X.Chan("k", 0, 0, 64, type=0), X.Chan("t", 7, 0, 64, type=1, signal=texts, signal_layout="dl_spanning")]
+    path = source(tmp_path, X.Writer().file([X.Data([X.Group(ch, at.tobytes(), 400, 8)])]))
+    seen = []
+    whole = B.fragment
+    monkeypatch.setattr(B, "fragment", lambda *a: seen.append(a) or whole(*a))
+    with B.Source(path) as src:
+        g = B.MeasurementFile.read(src).groups[0]
+        spans = S.spans_of(src, g, 20_000, channels=g.channels)
+        assert len(seen) <= 3 and 5 <= len(spans) <= 8
+        del seen[:]
+        got = [b.column("t").to_pylist() for b in D.read_sorted(src, g, g.channels, spans[1].first, spans[1].last, spans[1].parts)]
+        assert sum(got, []) == [t.decode() for t in texts[spans[1].first : spans[1].last]] and len(seen) <= 10
+
+
+def test_lists_that_tell_wrong_places(tmp_path):
+    """Where a list's places do not fit its blocks, the blocks' own lengths count."""
+    texts = [b"%06d" % k * 50 for k in range(100)]
+    at = np.cumsum([0] + [4 + len(t) for t in texts[:-1]]).astype("<u8")
+    ch = [X.Chan("t", 7, 0, 64, type=1, signal=texts, signal_layout="dl_spanning")]
+    data = bytearray(X.Writer().file([X.Data([X.Group(ch, at.tobytes(), 100, 8)])]))
+    with B.Source(source(tmp_path, bytes(data))) as src:
+        g = B.MeasurementFile.read(src).groups[0]
+        dl = B.raw(src, g.channels[0].data_at, "##DL")
+    data[dl.data_at + 16 : dl.data_at + 24] = (5000).to_bytes(8, "little")
+    assert columns(source(tmp_path, bytes(data)))["t"] == [t.decode() for t in texts]
