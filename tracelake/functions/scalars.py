@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,12 +28,12 @@ def decoded_text(content: Column, data_type: int) -> Column:
 def unsigned(content: Column, byte_offset: int, width: int, little: bool = True, bit_offset: int = 0, bit_count: int | None = None) -> Column:
     """Up to 63 unsigned bits inside a binary column as a long."""
     part = F.substring(content, byte_offset + 1, width)
-    digits = F.hex(part)
-    if little:
-        digits = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in range(width - 1, -1, -1)])
-    value = F.conv(digits, 16, 10).cast("decimal(20,0)").cast("long") if width < 8 else F.conv(digits, 16, 10).cast("decimal(20,0)")
+    value = F.conv(F.hex(part), 16, -10).cast("long")
+    if little:  # the bytes change places as a number, which is cheaper than as text; missing ones are the highest
+        value = reduce(Column.bitwiseOR, [F.shiftleft(F.shiftrightunsigned(value, 8 * k).bitwiseAND(F.lit(255)), 8 * (width - 1 - k)) for k in range(width)])
+        value = F.call_function("shiftrightunsigned", value, 8 * (width - F.octet_length(part)))
     if width == 8:
-        return value
+        return F.when(value >= 0, value.cast("decimal(20,0)")).otherwise((value.cast("decimal(20,0)") + F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)"))
     count = 8 * width - bit_offset if bit_count is None else bit_count
     return F.shiftright(value, bit_offset).bitwiseAND(F.lit((1 << count) - 1))
 

@@ -60,10 +60,7 @@ def demultiplex(records: DataFrame, payload: str, fields: dict[int, dict[str, Co
 
     ``fields`` has the columns of each id, as expressions over ``body``; records of other ids are in no table.
     """
-    number = F.lit(0).cast("long")
-    for k in range(id_bytes):
-        byte = F.conv(F.hex(F.substring(payload, k + 1, 1)), 16, 10).cast("long")
-        number = number + F.shiftleft(byte, 8 * k)
+    own = lambda i: F.substring(payload, 1, id_bytes) == F.lit(i.to_bytes(id_bytes, "little")) if 0 <= i < 256**id_bytes else F.lit(False)
     body = F.substring(payload, id_bytes + 1, 1 << 30).alias("body")
     rest = [c for c in records.columns if c != payload]
-    return {i: records.where(number == i).select(*rest, body).select(*rest, *[c.alias(n) for n, c in own.items()]) for i, own in fields.items()}
+    return {i: records.where(own(i)).select(*rest, body).select(*rest, *[c.alias(n) for n, c in columns.items()]) for i, columns in fields.items()}
