@@ -359,3 +359,15 @@ def test_lists_that_tell_wrong_places(tmp_path):
         dl = B.raw(src, g.channels[0].data_at, "##DL")
     data[dl.data_at + 16 : dl.data_at + 24] = (5000).to_bytes(8, "little")
     assert columns(source(tmp_path, bytes(data)))["t"] == [t.decode() for t in texts]
+
+
+def test_ranges_of_mixed_records_read_their_own_blocks(tmp_path, monkeypatch):
+    out = b"".join(b"\x01" + np.int32(k).tobytes() for k in range(2000))
+    path = source(tmp_path, X.Writer().file([X.Data([X.Group([X.Chan("k", 2, 0, 32)], cycles=2000, data_bytes=4, record_id=1)], "dl_spanning", 64, 1, out)]))
+    seen = []
+    whole = B.fragment
+    monkeypatch.setattr(B, "fragment", lambda *a: seen.append(a) or whole(*a))
+    with B.Source(path) as src:
+        f = B.MeasurementFile.read(src)
+        got = [b.column("k").to_pylist() for b in D.read_unsorted(src, f.groups, f.groups[0], f.groups[0].channels, 500, 1000, 100)]
+    assert sum(got, []) == list(range(100, 200)) and len(seen) <= 12
